@@ -73,6 +73,15 @@ def once_per_key(df: DataFrame, key: str) -> DataFrame:
     return single.unionByName(df.join(repeated, key, "left_semi").dropDuplicates([key]).select(single.columns))
 
 
+#: A side of a join of at most this many narrow rows is broadcast; the rows are counted before.
+MAX_BROADCAST_ROWS = 200_000
+
+
+def sized_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """left joined to right, which must be a written table of narrow rows: broadcast if counted small, else shuffled."""
+    return left.join(F.broadcast(right) if right.count() <= MAX_BROADCAST_ROWS else right, keys, how)
+
+
 def hot_keys(df: DataFrame, key: str, share: float = HOT_SHARE, min_rows: int = HOT_MIN_ROWS) -> list:
     """Keys that hold at least `share` of the rows, hence at most 1 / share of them; none in a table under min_rows."""
     n = df.count()

@@ -8,7 +8,9 @@ passes the filter under every order. Nothing is lost: any total order gives a co
 1. One pass counts tokens in a sketch of fixed size (2**26 one-byte counters, whatever the input) and notes each
    text's fingerprint; texts with equal sets share one, and only fingerprints are compared from here on.
 2. A second pass sends the prefixes' tokens, packed, to token ranges; a range yields the pairs that meet in it with the
-   number of shared prefix tokens per order.
+   number of shared prefix tokens per order. With its tokens a text sends a parity bitmap of its whole set, of about
+   twice as many bits as it has triples: two bitmaps differ in at most as many bits as the sets in tokens, so a pair
+   whose bitmaps differ in more than similar sets can is dropped where it meets, without loss.
 3. Pairs with enough shared tokens under all orders are verified on the whole sets.
 
 Defined results: null texts and texts with fewer than three words have no triples and are in no pair; rows of one id
@@ -33,7 +35,7 @@ SKETCH_BITS, CHUNK_BITS = 26, 20
 ORDERS = 3
 #: Prefix tokens handled by one range of the second pass.
 RANGE_POSTINGS = 1_500_000
-FLUSH_POSTINGS = 4_000_000
+FLUSH_POSTINGS = 1_000_000
 
 
 def least_shared(n, num: int, den: int):
@@ -57,6 +59,46 @@ def _unzip(x: bytes, kind) -> np.ndarray:
     return np.frombuffer(zstandard.ZstdDecompressor().decompress(x), kind)
 
 
+def bitmap_bits(n: np.ndarray) -> np.ndarray:
+    """Bits of a set's bitmap: the power of two from 1.25 n on, at least 128."""
+    return np.int64(1) << np.maximum(7, np.ceil(np.log2(np.maximum(n, 1) * 1.25)).astype(np.int64))
+
+
+def bitmaps(text: np.ndarray, h: np.ndarray, n: np.ndarray) -> list[bytes]:
+    """The parity bitmap of each text's set."""
+    bits = bitmap_bits(n)
+    first = np.concatenate([[0], np.cumsum(bits)])
+    place = first[text] + (mix(h + np.uint64(9)).astype(np.int64) & (bits[text] - 1))
+    packed = np.packbits((np.bincount(place, minlength=first[-1]) & 1).astype(np.uint8), bitorder="little").tobytes()
+    return [packed[a:b] for a, b in zip((first[:-1] // 8).tolist(), (first[1:] // 8).tolist(), strict=True)]
+
+
+class Bitmaps:
+    """Bitmaps of numbered sets, held by size, to compare many pairs at once."""
+
+    def __init__(self, n: np.ndarray, maps: list[bytes]):
+        self.n, self.bits, self.row, self.of = n, bitmap_bits(n), np.zeros(len(n), np.int64), {}
+        for b in np.unique(self.bits).tolist():
+            own = np.flatnonzero(self.bits == b)
+            self.row[own] = np.arange(len(own))
+            self.of[b] = np.frombuffer(b"".join([maps[i] for i in own.tolist()]), np.uint64).reshape(len(own), b // 64)
+        self.half = {b: m[:, : b // 128] ^ m[:, b // 128 :] for b, m in self.of.items() if b // 2 in self.of}
+
+    def close(self, a: np.ndarray, b: np.ndarray, num: int, den: int) -> np.ndarray:
+        """Whether the bitmaps of the pairs differ in no more bits than similar sets can."""
+        big, small = np.where(self.bits[a] >= self.bits[b], a, b), np.where(self.bits[a] >= self.bits[b], b, a)
+        differ = np.zeros(len(a), np.int64)
+        kinds = self.bits[big] * 2 + (self.bits[big] != self.bits[small])
+        for k in np.unique(kinds).tolist():
+            at = np.flatnonzero(kinds == k)
+            left, right = (self.half[k // 2], self.of[k // 4]) if k & 1 else (self.of[k // 2], self.of[k // 2])
+            step = max(1, 4_000_000 // right.shape[1])
+            for i in range(0, len(at), step):
+                part = at[i : i + step]
+                differ[part] = np.bitwise_count(left[self.row[big[part]]] ^ right[self.row[small[part]]]).sum(axis=1, dtype=np.int64)
+        return differ * (den + num) <= (self.n[a] + self.n[b]) * (den - num)
+
+
 _COUNT = "chunk int, grp int, counts binary, tag int, id long, fp long, n int"
 
 
@@ -125,22 +167,26 @@ def _postings(sketch, n_ranges: int, num: int, den: int):
 
         def flush():
             nonlocal size
-            fp, n, rng, tok, mask = (np.concatenate(x) for x in zip(*held, strict=True))
+            fps, ns = np.concatenate([x[0] for x in held]), np.concatenate([x[1] for x in held])
+            maps = [m for x in held for m in x[2]]
+            base = np.cumsum([0] + [len(x[0]) for x in held])
+            doc = np.concatenate([x[3] + b for x, b in zip(held, base, strict=False)])
+            rng, tok, mask = (np.concatenate([x[i] for x in held]) for i in (4, 5, 6))
             held.clear()
             size = 0
-            order = np.lexsort((fp, rng))
-            fp, n, rng, tok, mask = fp[order], n[order], rng[order], tok[order], mask[order]
+            order = np.lexsort((doc, rng))
+            doc, rng, tok, mask = doc[order], rng[order], tok[order], mask[order]
             cut = np.searchsorted(rng, np.arange(n_ranges + 1))
-            rows = []
             for r in range(n_ranges):
                 lo, hi = cut[r], cut[r + 1]
                 if lo == hi:
                     continue
-                f = fp[lo:hi]
-                new = np.flatnonzero(np.r_[True, f[1:] != f[:-1]])
-                rows.append((r, _zip(f[new]), _zip(n[lo:hi][new]), _zip(np.diff(np.r_[new, hi - lo]).astype(np.int32)), _zip(tok[lo:hi]), _zip(mask[lo:hi])))
-            cols = list(zip(*rows, strict=True))
-            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32())] + [pa.array(c, pa.binary()) for c in cols[1:]], names=["rng", "fp", "n", "k", "tok", "mask"])
+                d = doc[lo:hi]
+                new = np.flatnonzero(np.r_[True, d[1:] != d[:-1]])
+                d = d[new]
+                k = np.diff(np.r_[new, hi - lo]).astype(np.int32)
+                row = (_zip(fps[d]), _zip(ns[d]), _zip(k), b"".join([maps[i] for i in d.tolist()]), _zip(tok[lo:hi]), _zip(mask[lo:hi]))
+                yield pa.RecordBatch.from_arrays([pa.array([r], pa.int32())] + [pa.array([c], pa.binary()) for c in row], names=["rng", "fp", "n", "k", "maps", "tok", "mask"])
 
         for b in parts:
             for lo, hi, text, h in batches(b.column("text").to_pylist(), b.column("tag").to_pylist()):
@@ -158,9 +204,10 @@ def _postings(sketch, n_ranges: int, num: int, den: int):
                     key = top | (_rarity(df, k) << np.uint64(36)) | (mix(h + np.uint64(1000 + k)) >> np.uint64(28))
                     by = np.argsort(key)
                     mask[by[inside]] |= np.uint8(1 << k)
+                maps = bitmaps(text, h, n)
                 some = np.flatnonzero(mask)
                 h, text = h[some], text[some]
-                held.append((fp[text], n[text].astype(np.int32), (h % np.uint64(n_ranges)).astype(np.int32), (h // np.uint64(n_ranges)).astype(np.uint32), mask[some]))
+                held.append((fp, n.astype(np.int32), maps, text, (h % np.uint64(n_ranges)).astype(np.int32), (h // np.uint64(n_ranges)).astype(np.uint32), mask[some]))
                 size += len(some)
                 if size >= FLUSH_POSTINGS:
                     yield from flush()
@@ -183,6 +230,10 @@ def _meet(num: int, den: int):
         fp, n, k, tok, mask = (np.concatenate([_unzip(x, kinds[c]) for x in cols[c]]) for c in cols)
         ids, first, number = np.unique(fp, return_index=True, return_inverse=True)
         size = n[first].astype(np.int64)
+        whole = b"".join(t.column("maps").to_pylist())
+        ends = np.cumsum(bitmap_bits(n) // 8)
+        maps = Bitmaps(size, [whole[e - w : e] for e, w in zip(ends[first].tolist(), (bitmap_bits(size) // 8).tolist(), strict=True)])
+        del whole
         # by token and then text; equal sets that came from different tasks fall together
         both, at = np.unique((tok.astype(np.uint64) << np.uint64(32)) | np.repeat(number, k).astype(np.uint64), return_index=True)
         mask = mask[at]
@@ -206,6 +257,8 @@ def _meet(num: int, den: int):
             a, b = doc[i], doc[j]
             m = mask[i] & mask[j]
             ok = (m > 0) & (np.minimum(size[a], size[b]) * den >= np.maximum(size[a], size[b]) * num)
+            a, b, m = a[ok], b[ok], m[ok]
+            ok = maps.close(a, b, num, den)
             if ok.any():
                 held.append((a[ok] * len(ids) + b[ok], m[ok]))
                 n_held += int(ok.sum())
@@ -235,7 +288,7 @@ def candidates(texts: DataFrame, counted: DataFrame, num: int = NUM, den: int =
     total = counted.where("id is not null").agg(F.sum("n")).first()[0] or 0
     n_ranges = max(12, -(-total * 9 // (20 * RANGE_POSTINGS)))
     sketch = spark.sparkContext.broadcast(sketch_of(counted))
-    posted = texts.mapInArrow(_postings(sketch, n_ranges, num, den), "rng int, fp binary, n binary, k binary, tok binary, mask binary")
+    posted = texts.mapInArrow(_postings(sketch, n_ranges, num, den), "rng int, fp binary, n binary, k binary, maps binary, tok binary, mask binary")
     met = posted.groupBy("rng").applyInArrow(_meet(num, den), _PAIRS)
     shared = met.groupBy("fa", "fb", "na", "nb").agg(*[F.sum(f"c{i}").alias(f"c{i}") for i in range(ORDERS)])
     need = lambda c: F.least(1 + F.floor(F.col(c) / 20), F.ceil(F.col(c) * num / F.lit(den)))

@@ -105,13 +105,14 @@ def tables(documents: DataFrame, marker: str = r"\|", least: int = 2) -> DataFra
     return g.where(F.col("last") - F.col("first") + 1 >= least).select("doc_id", "first", "last", "body")
 
 
-def windows_around(c: Column, phrase: str, before: int = 40, after: int = 220) -> Column:
-    """The text around each non-overlapping place of a phrase, case aside."""
-    n = len(phrase)
-    parts = F.split(F.lower(c), re.escape(phrase.lower()))
-    sizes = F.slice(F.transform(parts, lambda p: F.length(p)), 1, F.greatest(F.size(parts) - 1, F.lit(0)))
-    at = F.transform(sizes, lambda x, i: F.aggregate(F.slice(sizes, 1, i + 1), F.lit(0), lambda a, y: a + y) + i * n)
-    return F.transform(at, lambda p: F.substring(c, F.greatest(p - before, F.lit(0)) + 1, (p + n + after - F.greatest(p - before, F.lit(0))).cast("int")))
+def windows_around(c: Column, phrase: str | Column, before: int = 40, after: int = 220) -> Column:
+    """The text around each non-overlapping place of a phrase, which may be a column, case aside."""
+    p = F.lower(F.lit(phrase) if isinstance(phrase, str) else phrase)
+    n = F.length(p)
+    parts = F.split(F.lower(c), F.concat(F.lit("\\Q"), p, F.lit("\\E")))
+    sizes = F.slice(F.transform(parts, lambda x: F.length(x)), F.lit(1), F.greatest(F.size(parts) - 1, F.lit(0)))
+    at = F.transform(sizes, lambda x, i: F.aggregate(F.slice(sizes, F.lit(1), i + 1), F.lit(0), lambda a, y: a + y) + i * n)
+    return F.transform(at, lambda q: F.substring(c, F.greatest(q - before, F.lit(0)) + 1, (q + n + after - F.greatest(q - before, F.lit(0))).cast("int")))
 
 
 def _docs(spark, sf_dir):

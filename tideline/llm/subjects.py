@@ -51,13 +51,15 @@ def labelled(documents: DataFrame, labels: DataFrame, limit: int = SAMPLE_DOCS)
     by_doc = labels.where("doc_id is not null and subject is not null").groupBy("doc_id").agg(F.collect_set("subject").alias("subjects"))
     sample = by_doc.orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)
     own = lambda c: F.split(F.lower(F.coalesce(c, F.lit(""))), r"\P{L}+")
-    rows = documents.where("text is not null").select("doc_id", "company", "text").join(F.broadcast(sample), "doc_id")
+    rows = documents.where("text is not null").select("doc_id", "company", "text").join(F.broadcast(sample), "doc_id").dropDuplicates(["doc_id"])
     words = F.array_except(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(_WORDS), 0)), own(F.col("company")))
     return rows.select("subjects", F.lower(F.trim("company")).alias("company"), words.alias("words"))
 
 
 def fit(documents: DataFrame, labels: DataFrame, subjects: list[str], limit: int = SAMPLE_DOCS, max_terms: int = MAX_TERMS) -> dict[str, dict[str, float]]:
     """Terms and weights per subject; at most max_terms of each reach the driver."""
+    if not subjects:
+        return {}
     counts = [F.count_if(F.array_contains("subjects", s)) for s in subjects]
     rows = labelled(documents, labels, limit).select("subjects", "company", F.explode("words").alias("word"))
     per_word = rows.groupBy("word").agg(F.count("*").alias("n"), F.approx_count_distinct("company").alias("companies"), F.array(*counts).alias("k"))

@@ -103,7 +103,8 @@ def test_pieces_rebuild_the_text(spark):
 
 
 def test_ranges_find_the_same_boundaries(spark):
-    text = "".join(random.Random(1).choice(["Word. ", "é", "\n\n", "日本 ", "x\r\n", " "]) for _ in range(20_000))
+    r = random.Random(1)
+    text = "".join(r.choice(["Word. ", "é", "\n\n", "日本 ", "x\r\n", " "]) for _ in range(20_000))
     d = spark.createDataFrame([(1, text)], "doc_id long, text string")
     small, large = (splitting.offsets(splitting.ranges_of_texts(d, "doc_id", n)).orderBy("piece_no").collect() for n in (1_000, 10_000_000))
     at = lambda t: [(p["start"], p["end"]) for p in t]

@@ -44,7 +44,8 @@ class PointInTime:
         self._all, self.cutoff, self.allow_unknown, self._date = documents, as_of, allow_unknown, date_col
 
     def documents(self) -> DataFrame:
-        return self._all.where(allowed(F.col(self._date), self.cutoff, self.allow_unknown))
+        known = F.col(self._date) <= F.lit(self.cutoff)  # a bare comparison, which the scan can evaluate
+        return self._all.where(known | F.col(self._date).isNull() if self.allow_unknown else known)
 
     def visible(self, company: str | None = None, types: tuple[str, ...] = (), newest_first: bool = True) -> DataFrame:
         """Documents of a company slug and of some types (both without regard to case), newest first, undated last."""

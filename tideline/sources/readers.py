@@ -116,7 +116,7 @@ def forecasts(spark: SparkSession, per_company: str | None, combined: str | None
     for order, path in enumerate(p for p in (per_company, combined) if p):
         text = spark.read.text(path, wholetext=True)
         e = F.from_json("value", f"struct<companies:array<{item}>,forecasts:array<{item}>>")
-        rows = F.coalesce(F.from_json("value", f"array<{item}>"), e["companies"], e["forecasts"])
+        rows = F.when(F.ltrim("value").startswith("["), F.from_json("value", f"array<{item}>")).otherwise(F.coalesce(e["companies"], e["forecasts"]))
         parts.append(text.select(F.explode(rows).alias("r"), F.lit(order).alias("o")).select("r.*", "o").where("ticker is not null and metric is not null"))
     from ..operators.relational import first_per_key
 

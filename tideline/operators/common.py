@@ -11,6 +11,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import ship
+
 #: White space that does not count at the ends of a key: Python's str.strip() set that occurs in data, no-break space included.
 BLANKS = " \t\n\r\f\v\u00a0"
 
@@ -33,6 +35,7 @@ def norm_key(c: Column | str) -> Column:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

@@ -33,8 +33,8 @@ from .shingles import BITS, batches, fingerprints, mix
 NUM, DEN = 3, 5
 SKETCH_BITS, CHUNK_BITS = 26, 20
 ORDERS = 3
-#: Prefix tokens handled by one range of the second pass.
-RANGE_POSTINGS = 1_500_000
+#: Prefix tokens handled by one range of the second pass. A text sends its bitmap to every range it has tokens in, so few large ranges shuffle least.
+RANGE_POSTINGS = 5_000_000
 FLUSH_POSTINGS = 1_000_000
 
 

@@ -28,7 +28,7 @@ def quarterly_totals(spark, sf_dir) -> DataFrame:
 def guided_totals(points: DataFrame) -> DataFrame:
     """A guided value per quarter: the mean of it and the one before, as if said for the next."""
     by = Window.partitionBy("key").orderBy("day")
-    return points.select("key", "day", F.round((F.col("value") + F.lag("value").over(by)) / 2, 2).alias("value")).where("value is not null")
+    return points.select("key", "day", ((F.col("value") + F.lag("value").over(by)) / 2).alias("value")).where("value is not null")
 
 
 def nearest(left: DataFrame, points: DataFrame, key: str, target: Column, tolerance: int, keep: list[str]) -> DataFrame:
@@ -214,7 +214,7 @@ def k_period_labels(spark, sf_dir):
 QUERIES = {f.__name__: f for f in (f5_nearest, f6_asof_documents, f7_guidance_pairs, f8_year_ago, g5_bias, g6_trend, g7_seasonality, g10_cyclical, g18_prices, h2_moving_mean, h3_growth, h4_first_last, h9_tail, k_period_labels)}
 
 SERIES_SQL = "p as (select c_mktsegment as key, cast(date_trunc('quarter', o_orderdate) + interval 3 month - interval 1 day as date) as day, sum(cast(round(o_totalprice * 100) as bigint)) / 100.0 as value from orders join customer on o_custkey = c_custkey group by 1, 2)"
-_G = "g as (select * from (select key, day, round((value + lag(value) over (partition by key order by day)) / 2, 2) as value from p) where value is not null)"
+_G = "g as (select * from (select key, day, (value + lag(value) over (partition by key order by day)) / 2 as value from p) where value is not null)"
 _PAIRS = _G + ", x as (select g.key, g.day as guided_on, g.value as guided, p.day as reported_on, p.value as reported, row_number() over (partition by g.key, g.day order by abs(p.day - (g.day + 91)), p.day) as k from g join p on g.key = p.key and p.day between g.day + 91 - 45 and g.day + 91 + 45), pairs as (select * from x where k = 1)"
 _FQ = "concat('FY', year(published_at - 15) + (case when month(published_at - 15) > {m} then 1 else 0 end) + {o}, 'Q', cast(floor(((month(published_at - 15) - 1 - {m} + 24) % 12) / 3) as integer) + 1)"
 ORACLES = {

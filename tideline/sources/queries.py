@@ -53,7 +53,7 @@ _F = "regexp_extract(lower(split_part(rel_path, '/', -1)), '^([0-9]{{4}}-[0-9]{{
 ORACLES = {
     "a6_catalog": "select published_at, title, regexp_extract(rel_path, '([^/]+?)\\.md$', 1) as doc_id from documents where company_slug is not null and published_at is not null and title is not null",
     "a10_report_rows": "select distinct ticker as slug, 'P&L ' || metric as metric, round(value, 2) as value, units, 'm' || anchor_id as method from guidance_anchors where value is not null and units is not null",
-    "a15_folders": "select distinct company as name, trim(regexp_replace(lower(company), '[^a-z0-9]+', '-', 'g'), '-') as folder from company_metrics",
+    "a15_folders": "select distinct company as name, trim(regexp_replace(lower(company), '[^a-z0-9]+', '-', 'g'), '-') as folder from company_metrics where trim(regexp_replace(lower(company), '[^a-z0-9]+', '-', 'g'), '-') in (select split_part(rel_path, '/', 2) from documents)",
     "a2c_filename": "select doc_id, " + ", ".join(f"nullif({_F.format(k=i + 1)}, '') as {k}" for i, k in enumerate(("published", "ticker", "market", "filed", "kind", "number"))) + " from documents",
     "c21_company_lookup": "with q as (select unnest(['wexw', 'Torgard CHAMBERS', 'XSE:OSTH', 'nobody']) as asked) select asked, (select min(company) from company_metrics where lower(ticker) = lower(split_part(asked, ':', -1)) or lower(company) = lower(split_part(asked, ':', -1))) as company from q",
 }

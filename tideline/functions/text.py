@@ -40,8 +40,7 @@ def informative(c: Column, min_chars: int = 60, min_ratio: float = 0.30) -> Colu
 def tokens(c: Column, stop: list[str] = STOP_WORDS, min_length: int = 2) -> Column:
     """Lower-cased word tokens in order, stop words and single characters left out."""
     found = F.regexp_extract_all(F.lower(c), F.lit(TOKEN), F.lit(0))
-    words = F.array(*[F.lit(w) for w in stop]) if stop else None
-    keep = (lambda t: (F.length(t) >= min_length) & ~F.array_contains(words, t)) if stop else (lambda t: F.length(t) >= min_length)
+    keep = (lambda t: (F.length(t) >= min_length) & ~t.isin(stop)) if stop else (lambda t: F.length(t) >= min_length)
     return F.filter(found, keep)
 
 

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from .common import strip, table
+from .common import spread, strip, table
 from .pit import CUTOFF, Corpus
 
 K1, B = 1.5, 0.75
@@ -124,7 +124,7 @@ def paragraph_scores(documents: DataFrame, query: str, limit: int = 5, per_docum
 
 
 def _passages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_passages(Corpus.load(spark, sf_dir).as_of(CUTOFF).documents())
+    return line_passages(spread(Corpus.load(spark, sf_dir).as_of(CUTOFF).documents().select("doc_id", "published_at", "text")))
 
 
 QUERY = "operating margin guidance improved"
@@ -169,19 +169,19 @@ def d9_bm25_documents(spark, sf_dir, query: str = "tribunal verdict tribunal"):
 
     words = re.findall(r"[a-z0-9][a-z0-9.\-]*", query.lower())
     terms = list(dict.fromkeys(words))
-    docs = Corpus.load(spark, sf_dir).as_of(CUTOFF).documents().where("text is not null").select("doc_id", "published_at", T.normalise(F.col("text")).alias("text"))
+    docs = spread(Corpus.load(spark, sf_dir).as_of(CUTOFF).documents().where("text is not null").select("doc_id", "published_at", "text")).withColumn("text", T.normalise(F.col("text")))
     scored = score(docs, terms, [float(words.count(t)) for t in terms], stop=[], min_length=1)
     return scored.orderBy(F.desc("score"), "published_at", "doc_id").limit(8).select("doc_id", "published_at", F.round("score", 6).alias("score"))
 
 
 def d11_paragraphs(spark, sf_dir):
-    docs = Corpus.load(spark, sf_dir).as_of(CUTOFF).documents()
+    docs = spread(Corpus.load(spark, sf_dir).as_of(CUTOFF).documents().select("doc_id", "published_at", "text"))
     return paragraph_scores(docs, "turnover margin investors").select("doc_id", "ordinal", "score")
 
 
 def d24_corpus_stats(spark, sf_dir):
     """Per company: documents, passages, tokens and mean tokens of a passage."""
-    p = line_passages(table(spark, sf_dir, "documents")).select("doc_id", F.size(T.tokens(F.col("text"))).alias("n"))
+    p = line_passages(spread(table(spark, sf_dir, "documents").select("doc_id", "published_at", "text"))).select("doc_id", F.size(T.tokens(F.col("text"))).alias("n"))
     per = p.groupBy("doc_id").agg(F.count("*").alias("passages"), F.sum("n").alias("tokens"))
     d = table(spark, sf_dir, "documents").select("doc_id", "company_slug").join(per, "doc_id", "left")
     return d.groupBy("company_slug").agg(F.count("*").alias("documents"), F.sum("passages").alias("passages"), F.sum("tokens").alias("tokens"), F.round(F.sum("tokens") / F.sum("passages"), 1).alias("avg_tokens"))

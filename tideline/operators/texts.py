@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import numbers as N
 from ..functions import text as T
-from .common import table
+from .common import spread, table
 from .pit import CUTOFF
 
 CHUNK_TARGET, CHUNK_MAX = 1600, 2600
@@ -170,7 +170,7 @@ def c17_guidance_sentences(spark, sf_dir):
 
 
 def d1_chunks(spark, sf_dir):
-    return chunks(_docs(spark, sf_dir))
+    return chunks(spread(_docs(spark, sf_dir).select("doc_id", "text")))
 
 
 def d2_tokens(spark, sf_dir):

@@ -52,3 +52,26 @@ def test_pipeline_run_blends_guidance_of_documents(spark, planted):
     docs = [doc(1, D(2025, 5, 1), "Gross margin in the quarter was 40.0% of all that was sold."), doc(2, D(2025, 6, 1), "We expect gross margin of 44.0% in the quarter to come.", kind="NOTE")]
     r = query("pipeline_run")(spark, planted(documents=docs, company_metrics=[MARGIN])).first()
     assert (r["forecast"], r["method"]) == (0.65 * 44 + 0.35 * 40, "guidance and persistence")
+
+
+def test_last_actual_reads_the_whole_of_the_newest_filing(spark, planted):
+    long = "A line of talk that names nothing. " * 200
+    docs = [doc(1, D(2025, 3, 1), "Gross margin 30.0%."), doc(2, D(2025, 6, 1), long + "Gross margin is discussed. " + long + "Gross margin 41.5%. " + long)]
+    said = {"candidate_id": 5, "ticker": "ACME", "metric": "Gross margin", "context": "Gross margin 30.0%.", "source_path": docs[0]["rel_path"], "score": 3.0}
+    r = query("e11_last_actual")(spark, planted(documents=docs, value_candidates=[said], company_metrics=[MARGIN])).collect()
+    assert [(x["doc_id"], x["value"]) for x in r] == [(2, 41.5)]
+
+
+def test_last_actual_reads_every_context(spark, planted):
+    docs = [doc(1, D(2025, 3, 1), "Nothing.")]
+    said = [{"candidate_id": i, "ticker": "ACME", "metric": "Gross margin", "context": c, "source_path": docs[0]["rel_path"], "score": 3.0} for i, c in ((1, "Other talk."), (2, "Gross margin 41.5%."))]
+    r = query("e11_last_actual")(spark, planted(documents=docs, value_candidates=said, company_metrics=[MARGIN])).collect()
+    assert [(x["doc_id"], x["value"]) for x in r] == [(1, 41.5)]
+
+
+def test_consensus_reads_the_texts_own_statements(spark, planted):
+    sales, profit = MARGIN | {"metric": "Net sales", "units": "USDm"}, MARGIN | {"metric": "Operating profit", "units": "USDm"}
+    talk = "A line of talk that names nothing. " * 20
+    docs = [doc(1, D(2025, 6, 1), talk + "Analyst consensus is for operating profit of $52.5 million. " + talk)]
+    r = query("e10_consensus")(spark, planted(documents=docs, company_metrics=[sales, profit])).collect()
+    assert {x["metric"]: x["value"] for x in r} == {"Net sales": 45.28, "Operating profit": 52.5}

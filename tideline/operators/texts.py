@@ -105,7 +105,7 @@ def tables(documents: DataFrame, marker: str = r"\|", least: int = 2) -> DataFra
     return g.where(F.col("last") - F.col("first") + 1 >= least).select("doc_id", "first", "last", "body")
 
 
-def windows_around(c: Column, phrase: str | Column, before: int = 40, after: int = 220) -> Column:
+def windows_around(c: Column, phrase: str | Column, before: int = 40, after: int | Column = 220) -> Column:
     """The text around each non-overlapping place of a phrase, which may be a column, case aside."""
     p = F.lower(F.lit(phrase) if isinstance(phrase, str) else phrase)
     n = F.length(p)

@@ -1,16 +1,19 @@
 """Queries that do the whole job: figures that only a cut would lose, on tables with a few planted rows."""
 
 import datetime as dt
-import re
 
-import duckdb
 import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
+from helpers import oracle_rows, rows
 
 import __spark_entry__ as entry
 
 D = dt.date
+#: What cuts the SQL of a query whose code does the whole job, and what stands in its place without the cut.
+UNCUT = {
+    "d25_redact": ("left(text, 100)", "text"),
+}
 
 
 @pytest.fixture
@@ -75,3 +78,16 @@ def test_consensus_reads_the_texts_own_statements(spark, planted):
     docs = [doc(1, D(2025, 6, 1), talk + "Analyst consensus is for operating profit of $52.5 million. " + talk)]
     r = query("e10_consensus")(spark, planted(documents=docs, company_metrics=[sales, profit])).collect()
     assert {x["metric"]: x["value"] for x in r} == {"Net sales": 45.28, "Operating profit": 52.5}
+
+
+def test_redaction_and_repair_reach_the_end_of_a_text(spark, planted):
+    talk = "A line of talk that names nothing. " * 200
+    d = planted(documents=[doc(1, D(2025, 6, 1), talk + "api_key=" + "ab12" * 8 + " up to £4 3.5 m. The end.")])
+    assert query("d25_redact")(spark, d).first()["text"] == "key [REDACTED] [REDACTED] [REDACTED] ok " + talk + "[REDACTED] up to £4 3.5 m. The end."
+    assert query("d22_repair")(spark, d).first()["repaired"].endswith(talk + "api_key=" + "ab12" * 8 + " up to £43.5m. The end.")
+
+
+@pytest.mark.parametrize("name", sorted(UNCUT))
+def test_whole_job_against_sql_without_the_cut(spark, duck, data, name):
+    cols, got = rows(query(name)(spark, data))
+    assert got == oracle_rows(duck, entry.oracle_sql()[name].replace(*UNCUT[name]), cols)

@@ -226,8 +226,8 @@ def d21_truncate(spark, sf_dir):
 
 
 def d22_repair(spark, sf_dir):
-    made = F.concat(F.lit("up to £4 3.5 m, 37 .0 -46 .0 bn, pre -exceptional "), F.left("text", F.lit(200)))
-    return _docs(spark, sf_dir).select("doc_id", T.repair_numbers(made).alias("repaired"))
+    made = F.concat(F.lit("up to £4 3.5 m, 37 .0 -46 .0 bn, pre -exceptional "), "text")
+    return spread(_docs(spark, sf_dir).select("doc_id", "text")).select("doc_id", T.repair_numbers(made).alias("repaired"))
 
 
 def d23_industry(spark, sf_dir):
@@ -240,8 +240,8 @@ def d23_industry(spark, sf_dir):
 
 
 def d25_redact(spark, sf_dir):
-    made = F.concat(F.lit("key sk-ant-"), F.md5("text"), F.lit(" api_key="), F.md5("text"), F.lit(" Bearer "), F.md5("text"), F.lit(" ok "), F.left("text", F.lit(100)))
-    return _docs(spark, sf_dir).select("doc_id", T.redact(made, 4000).alias("text"))
+    made = F.concat(F.lit("key sk-ant-"), F.md5("text"), F.lit(" api_key="), F.md5("text"), F.lit(" Bearer "), F.md5("text"), F.lit(" ok "), "text")
+    return spread(_docs(spark, sf_dir).select("doc_id", "text")).select("doc_id", T.redact(made).alias("text"))
 
 
 def e1_parse_numbers(spark, sf_dir):

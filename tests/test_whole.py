@@ -91,3 +91,15 @@ def test_redaction_and_repair_reach_the_end_of_a_text(spark, planted):
 def test_whole_job_against_sql_without_the_cut(spark, duck, data, name):
     cols, got = rows(query(name)(spark, data))
     assert got == oracle_rows(duck, entry.oracle_sql()[name].replace(*UNCUT[name]), cols)
+
+
+def test_no_filing_is_lost_behind_many_candidates(spark, planted):
+    docs = [doc(1, D(2025, 3, 1), "Nothing."), doc(2, D(2025, 6, 1), "Nothing.")]
+    said = lambda i, d, n, score: {"ticker": "ACME", "metric": "Gross margin", "context": f"Gross margin{' of late' * n} {40 + i / 1000:.3f}%.", "source_path": docs[d]["rel_path"], "score": score}
+    many = [said(i, 0, 0, 9.0) for i in range(10_001)] + [said(20_000, 1, 9, 1.0)]
+    d = planted(
+        documents=docs, company_metrics=[MARGIN], value_candidates=[x | {"candidate_id": i} for i, x in enumerate(many)],
+        guidance_anchors=[{k: v for k, v in x.items() if k != "score"} | {"anchor_id": i, "series_id": 1} for i, x in enumerate(many)])
+    assert [(r["key"], r["events"]) for r in query("pipeline_backtest")(spark, d).collect()] == [("acme|Gross margin", 1)]
+    assert sorted(r["doc_id"] for r in query("l1_series")(spark, d).collect()) == [1, 2]
+    assert [(r["doc_id"], r["value"]) for r in query("l4_guidance")(spark, d).collect()] == [(2, 60.0)]

@@ -110,7 +110,7 @@ def run(spark, sf_dir, as_of: date = CUTOFF) -> DataFrame:
 def backtest(spark, sf_dir, n_events: int = 8) -> DataFrame:
     """Errors of replayed forecasts of every series of candidates' values, under cutoffs before each event."""
     d = table(spark, sf_dir, "documents")
-    found = C.candidates(C._hits(spark, sf_dir), C._specs(spark, sf_dir), 10_000)
+    found = C.candidates(C._hits(spark, sf_dir), C._specs(spark, sf_dir), None)
     s = C.build_series(found, d).where("published_at is not null")
     p = s.groupBy(F.concat_ws("|", "company_slug", "metric").alias("key"), F.col("published_at").alias("day")).agg(F.max("value").alias("value"))
     points = durable(p, "points")

@@ -110,7 +110,7 @@ def m6_postprocess(spark, sf_dir):
 def b6_verify(spark, sf_dir):
     """Metrics of the specification without a figure, and figures without a metric, per ticker."""
     spec = table(spark, sf_dir, "company_metrics").select("ticker", "metric").distinct()
-    got = table(spark, sf_dir, "value_candidates").where("candidate_id % 7 = 0").select("ticker", "metric").distinct()
+    got = table(spark, sf_dir, "value_candidates").select("ticker", "metric").distinct()
     a = spec.join(got, ["ticker", "metric"], "left_anti").select("ticker", "metric", F.lit("missing").alias("problem"))
     return a.unionByName(got.join(spec, ["ticker", "metric"], "left_anti").select("ticker", "metric", F.lit("unknown").alias("problem")))
 

@@ -182,7 +182,7 @@ def f15_coalesce(spark, sf_dir):
     """Per day: sales from clicks, else from views, and from either side what the other lacks."""
     e = table(spark, sf_dir, "events").withColumn("day", F.to_date("ts"))
     total = (F.sum(F.round(F.col("value") * 10000).cast("long")) / 10000.0).alias("total")
-    a = e.where("event_type = 'purchase' and user_id % 2 = 0").groupBy("day", "user_id").agg(total, F.lit(None).cast("long").alias("n"))
+    a = e.where("event_type = 'purchase'").groupBy("day", "user_id").agg(total, F.lit(None).cast("long").alias("n"))
     b = e.where("event_type = 'signup'").groupBy("day", "user_id").agg(total, F.count("*").alias("n"))
     return coalesce_outer(a, b, ["day", "user_id"], ["total", "n"])
 

@@ -14,6 +14,7 @@ D = dt.date
 UNCUT = {
     "b6_verify": (" where candidate_id % 7 = 0", ""),
     "f15_coalesce": (" and user_id % 2 = 0", ""),
+    "d3_postings": (" having count(*) >= 20", ""),
     "d25_redact": ("left(text, 100)", "text"),
 }
 

@@ -171,19 +171,40 @@ def test_triples_of_hashes_are_those_of_words():
     assert not set(h[doc == 0]) & set(shingles.triples(["A b c d"], [1])[1])
 
 
-def test_bitmaps_never_part_similar_sets():
-    r = np.random.default_rng(1)
-    sets = []
-    for n in (3, 20, 100, 130, 500, 900, 1700, 3000):
-        base = r.integers(0, 1 << 44, n, dtype=np.uint64)
-        sets += [np.unique(base), np.unique(np.r_[base[: int(n * 0.8)], r.integers(0, 1 << 44, n // 6, dtype=np.uint64)])]
-    text = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
-    n = np.array([len(s) for s in sets])
-    b = near_duplicates.Bitmaps(n, near_duplicates.bitmaps(text, np.concatenate(sets), n))
-    for i, j in itertools.combinations(range(len(sets)), 2):
-        common = len(np.intersect1d(sets[i], sets[j]))
-        if min(n[i], n[j]) * 5 >= max(n[i], n[j]) * 3 and common * 5 >= (n[i] + n[j] - common) * 3:
-            assert b.close(np.array([i]), np.array([j]), 3, 5)[0]
+@pytest.mark.parametrize(("num", "den"), [(3, 5), (4, 5)])
+def test_similar_sets_share_enough_keys(num, den):
+    """The bound on shared neighbours, and on those left after each text has left out its most common ones."""
+    r = random.Random(num)
+    checked = 0
+    for _ in range(4000):
+        a = set(r.sample(range(40), r.randrange(1, 30)))
+        b = set(r.sample(sorted(a), max(1, int(len(a) * r.uniform(0.6, 1))))) | set(r.sample(range(40), r.randrange(0, 6)))
+        common, s = len(a & b), len(a) + len(b)
+        if a == b or common * den < (s - common) * num:
+            continue
+        checked += 1
+        keys = [set(zip([-1, *sorted(x)], [*sorted(x), 99], strict=True)) for x in (a, b)]
+        shared = keys[0] & keys[1]
+        assert len(shared) >= 3 * common - s + 1 > near_duplicates.left_out(max(len(a), len(b)), num, den)
+        rank = {k: r.random() for k in keys[0] | keys[1]}
+        kept = [set(sorted(k, key=rank.get)[: len(k) - near_duplicates.left_out(len(k) - 1, num, den)]) for k in keys]
+        least = 3 * -(-s * num // (num + den)) - s + 1 - near_duplicates.left_out(max(len(a), len(b)), num, den)
+        assert len(kept[0] & kept[1]) >= max(least, 1)
+    assert checked > 500
+
+
+def test_hot_keys_and_many_ranges_change_nothing(spark):
+    r = random.Random(8)
+    base = " ".join(f"w{r.randrange(150)}" for _ in range(60))
+    texts = [(0, i, edited(r, base)) for i in range(150)] + [(0, 1000 + i, f"some {i} other {i * 3} text {i * 7} here") for i in range(50)]
+    d = spark.createDataFrame(texts, "tag int, id long, text string")
+    found = [{(x["fa"], x["fb"], x["common"]) for x in near_duplicates.similar_sets(d, **sizes)[0].collect()} for sizes in ({}, {"range_keys": 500}, {"hot_texts": 10, "block": 16}, {"hot_texts": 2, "block": 1_000})]
+    assert found[0] and all(f == found[0] for f in found)
+
+
+def test_sketch_scale():
+    n = np.arange(0, 60_000, 7)
+    assert np.all(np.abs(near_duplicates._counts(near_duplicates._code(n)) - n) <= 0.05 * n + 0.5)
 
 
 def test_a_third_of_the_rows_are_copies(spark):

@@ -1,17 +1,21 @@
 """Problem 7: near-duplicate texts, by prefix filters under several global orders of the word triples.
 
-Two sets whose common part is at least THRESHOLD of their union share at least l tokens among the first
-n - ceil(THRESHOLD n) + l of each, whatever global order the tokens have. Three orders are used, all rare tokens first,
-differing in how finely they tell rarities apart and in the hash that orders equals; a pair is verified only if it
-passes the filter under every order. Nothing is lost: any total order gives a correct filter.
-
-1. One pass counts tokens in a sketch of fixed size (2**26 one-byte counters, whatever the input) and notes each
-   text's fingerprint; texts with equal sets share one, and only fingerprints are compared from here on.
-2. A second pass sends the prefixes' tokens, packed, to token ranges; a range yields the pairs that meet in it with the
-   number of shared prefix tokens per order. With its tokens a text sends a parity bitmap of its whole set, of about
-   twice as many bits as it has triples: two bitmaps differ in at most as many bits as the sets in tokens, so a pair
-   whose bitmaps differ in more than similar sets can is dropped where it meets, without loss.
-3. Pairs with enough shared tokens under all orders are verified on the whole sets.
+Order 0 generates candidates. A set sorted by it (with a mark before and behind) is read as its pairs of neighbours, the
+keys. Let two sets of together s triples have c in common. The s - 2c others part the c + 2 common elements of the sorted
+union into at most s - 2c + 1 stretches, and neighbours inside a stretch are neighbours in both sets, so the sets share
+at least 3c - s + 1 keys: a fifth of the larger set and one more where c is 60 % of the union. A key needs two triples
+that stand together, so unlike sets hardly ever share one, however common their triples are. Each text leaves out its
+most common keys (the suffix of a global order of keys, counted in a sketch) and may so lose at most as many.
+
+1. One pass counts keys in a sketch (2**SKETCH_BITS logarithmic counters, merged in a tree) and notes each text's
+   fingerprint; texts with equal sets share one, and only fingerprints are compared from here on.
+2. A second pass sends the kept keys, packed, to as many ranges of keys as the data need; a range yields the pairs that
+   meet in it with the number of shared keys. A key that the sketch shows to be hot goes to pairs of blocks of its
+   texts instead, each a group of its own, so no task holds more than two blocks of it.
+3. Pairs with enough shared keys over all ranges are brought together with their sets; there they must also share
+   enough of their prefixes under each of the other orders, and only then are the whole sets compared.
+
+Nothing is lost but by collisions of hashes (44 bits). The sketch only orders keys, so its errors cost time, not pairs.
 
 Defined results: null texts and texts with fewer than three words have no triples and are in no pair; rows of one id
 count once; equal texts are pairs of similarity 1.
@@ -23,23 +27,42 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.common import durable, once_per_key, sized_join, table
 from .shingles import BITS, batches, fingerprints, mix
 
-#: Common part over union, as a fraction of integers so that the comparison is exact.
+#: Common part over union, as a fraction of integers so that the comparison is exact. Must be over a half.
 NUM, DEN = 3, 5
-SKETCH_BITS, CHUNK_BITS = 26, 20
-ORDERS = 3
-#: Prefix tokens handled by one range of the second pass. A text sends its bitmap to every range it has tokens in, so few large ranges shuffle least.
-RANGE_POSTINGS = 5_000_000
-FLUSH_POSTINGS = 1_000_000
+SKETCH_BITS, CHUNK_BITS = 24, 20
+#: Partitions whose sketches one task adds up.
+FAN_IN = 32
+#: Orders besides the first under which candidates must share prefix triples.
+OTHER_ORDERS = (1, 2)
+#: Keys handled by one range, keys a task holds before it sends them off, and texts in a block of a hot key.
+RANGE_KEYS, FLUSH_KEYS, BLOCK = 2_000_000, 3_000_000, 2_048
+#: A key with so many texts is hot, or with so many times the mean of a counter where that is more.
+HOT_TEXTS, HOT_MEANS = 4_096, 8
+#: Pairs that a task holds before it combines those of the same two texts.
+COMBINE = 3_000_000
+
+
+def left_out(n, num: int, den: int):
+    """How many of its most common keys a set of n leaves out: three quarters of those it could do without."""
+    return n * (2 * num - den) * 3 // (4 * den)
+
+
+def least_keys(na: Column, nb: Column, num: int, den: int) -> Column:
+    """How many kept keys two similar sets share at least."""
+    s = na + nb
+    common = F.floor((s * num + (num + den - 1)) / F.lit(num + den))
+    out = F.floor(F.greatest(na, nb) * ((2 * num - den) * 3) / F.lit(4 * den))
+    return F.greatest(3 * common - s + 1 - out, F.lit(1))
 
 
 def least_shared(n, num: int, den: int):
-    """l: how many prefix tokens a set of n must share; the prefixes grow by as many."""
+    """l: how many prefix triples a set of n must share under another order; the prefixes grow by as many."""
     return np.minimum(1 + n // 20, -(-n * num // den))
 
 
@@ -48,55 +71,37 @@ def prefix_length(n, num: int, den: int):
 
 
 def _zip(x: np.ndarray) -> bytes:
+    """Compressed plane by plane, so that high bytes that are all zero take no room."""
     import zstandard
 
-    return zstandard.ZstdCompressor(level=1).compress(x.tobytes())
+    return zstandard.ZstdCompressor(level=1).compress(x.view(np.uint8).reshape(len(x), x.itemsize).T.tobytes())
 
 
 def _unzip(x: bytes, kind) -> np.ndarray:
     import zstandard
 
-    return np.frombuffer(zstandard.ZstdDecompressor().decompress(x), kind)
-
-
-def bitmap_bits(n: np.ndarray) -> np.ndarray:
-    """Bits of a set's bitmap: the power of two from 1.25 n on, at least 128."""
-    return np.int64(1) << np.maximum(7, np.ceil(np.log2(np.maximum(n, 1) * 1.25)).astype(np.int64))
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(x), np.uint8).reshape(np.dtype(kind).itemsize, -1)
+    return np.ascontiguousarray(planes.T).view(kind).reshape(-1)
 
 
-def bitmaps(text: np.ndarray, h: np.ndarray, n: np.ndarray) -> list[bytes]:
-    """The parity bitmap of each text's set."""
-    bits = bitmap_bits(n)
-    first = np.concatenate([[0], np.cumsum(bits)])
-    place = first[text] + (mix(h + np.uint64(9)).astype(np.int64) & (bits[text] - 1))
-    packed = np.packbits((np.bincount(place, minlength=first[-1]) & 1).astype(np.uint8), bitorder="little").tobytes()
-    return [packed[a:b] for a, b in zip((first[:-1] // 8).tolist(), (first[1:] // 8).tolist(), strict=True)]
+def neighbour_keys(text: np.ndarray, h: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(text, key of BITS bits) of every two neighbours of each sorted set, and of its first and last triple alone."""
+    some = np.flatnonzero(n > 0)
+    last = np.cumsum(n)[some] - 1
+    first = last - n[some] + 1
+    inner = np.flatnonzero(text[1:] == text[:-1])
+    two = h[inner] * np.uint64(0xD6E8FEB86659FD93) + mix(h[inner + 1] + np.uint64(3))
+    key = mix(np.concatenate([two, h[first] + np.uint64(11 << 50), h[last] + np.uint64(13 << 50)]))
+    return np.concatenate([text[inner], some, some]), key >> np.uint64(64 - BITS)
 
 
-class Bitmaps:
-    """Bitmaps of numbered sets, held by size, to compare many pairs at once."""
+def _code(counts: np.ndarray) -> np.ndarray:
+    """Counts on a scale of eighths of a power of two."""
+    return np.minimum(255, np.round(8 * np.log2(1.0 + counts))).astype(np.uint8)
 
-    def __init__(self, n: np.ndarray, maps: list[bytes]):
-        self.n, self.bits, self.row, self.of = n, bitmap_bits(n), np.zeros(len(n), np.int64), {}
-        for b in np.unique(self.bits).tolist():
-            own = np.flatnonzero(self.bits == b)
-            self.row[own] = np.arange(len(own))
-            self.of[b] = np.frombuffer(b"".join([maps[i] for i in own.tolist()]), np.uint64).reshape(len(own), b // 64)
-        self.half = {b: m[:, : b // 128] ^ m[:, b // 128 :] for b, m in self.of.items() if b // 2 in self.of}
 
-    def close(self, a: np.ndarray, b: np.ndarray, num: int, den: int) -> np.ndarray:
-        """Whether the bitmaps of the pairs differ in no more bits than similar sets can."""
-        big, small = np.where(self.bits[a] >= self.bits[b], a, b), np.where(self.bits[a] >= self.bits[b], b, a)
-        differ = np.zeros(len(a), np.int64)
-        kinds = self.bits[big] * 2 + (self.bits[big] != self.bits[small])
-        for k in np.unique(kinds).tolist():
-            at = np.flatnonzero(kinds == k)
-            left, right = (self.half[k // 2], self.of[k // 4]) if k & 1 else (self.of[k // 2], self.of[k // 2])
-            step = max(1, 4_000_000 // right.shape[1])
-            for i in range(0, len(at), step):
-                part = at[i : i + step]
-                differ[part] = np.bitwise_count(left[self.row[big[part]]] ^ right[self.row[small[part]]]).sum(axis=1, dtype=np.int64)
-        return differ * (den + num) <= (self.n[a] + self.n[b]) * (den - num)
+def _counts(code: np.ndarray) -> np.ndarray:
+    return np.exp2(code / 8.0) - 1.0
 
 
 _COUNT = "chunk int, grp int, counts binary, tag int, id long, fp long, n int"
@@ -106,8 +111,8 @@ def _count(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Each text's (tag, id, fp, n), and the partition's part of the sketch, by chunks."""
     from pyspark import TaskContext
 
-    grp = TaskContext.get().partitionId() // 32
-    sketch = np.zeros(1 << SKETCH_BITS, np.uint8)
+    grp = TaskContext.get().partitionId() // FAN_IN
+    sketch = np.zeros(1 << SKETCH_BITS, np.uint16)
     none = lambda k, t: pa.nulls(k, t)
     for b in parts:
         texts, tags, ids = b.column("text").to_pylist(), b.column("tag").to_pylist(), b.column("id").to_pylist()
@@ -116,9 +121,9 @@ def _count(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             n, fp = fingerprints(text, h, hi - lo)
             ns.append(n)
             fps.append(fp)
-            cell, k = np.unique(h >> np.uint64(BITS - SKETCH_BITS), return_counts=True)
+            cell, k = np.unique(neighbour_keys(text, h, n)[1] >> np.uint64(BITS - SKETCH_BITS), return_counts=True)
             cell = cell.astype(np.int64)
-            sketch[cell] = np.minimum(255, sketch[cell] + k)
+            sketch[cell] = np.minimum(65_535, sketch[cell] + k)
         if texts:
             m = len(texts)
             yield pa.RecordBatch.from_arrays(
@@ -130,170 +135,207 @@ def _count(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = sketch[c * size : (c + 1) * size]
         if part.any():
             yield pa.RecordBatch.from_arrays(
-                [pa.array([c], pa.int32()), pa.array([grp], pa.int32()), pa.array([_zip(part)], pa.binary()), none(1, pa.int32()), none(1, pa.int64()), none(1, pa.int64()), none(1, pa.int32())],
+                [pa.array([c], pa.int32()), pa.array([grp], pa.int32()), pa.array([_zip(_code(part))], pa.binary()), none(1, pa.int32()), none(1, pa.int64()), none(1, pa.int64()), none(1, pa.int32())],
                 names=["chunk", "grp", "counts", "tag", "id", "fp", "n"],
             )
 
 
 def _add_counts(key: tuple, t: pa.Table) -> pa.Table:
-    total = np.zeros(1 << CHUNK_BITS, np.uint16)
+    total = np.zeros(1 << CHUNK_BITS)
     for x in t.column("counts").to_pylist():
-        total = np.minimum(255, total + _unzip(x, np.uint8))
-    return pa.table({"chunk": pa.array([key[0].as_py()], pa.int32()), "counts": pa.array([_zip(total.astype(np.uint8))], pa.binary())})
+        total += _counts(_unzip(x, np.uint8))
+    return pa.table({"chunk": pa.array([key[0].as_py()], pa.int32()), "grp": pa.array([key[1].as_py() // FAN_IN], pa.int32()), "counts": pa.array([_zip(_code(total))], pa.binary())})
 
 
 def sketch_of(counted: DataFrame) -> np.ndarray:
-    """The whole sketch, of fixed size; merged on the workers, 32 partitions at a time, before the driver puts the chunks together."""
-    parts = counted.where("chunk is not null").select("chunk", "grp", "counts")
-    level = parts.groupBy("chunk", "grp").applyInArrow(_add_counts, "chunk int, counts binary")
+    """The whole sketch, of fixed size: added up on the workers, FAN_IN parts at a time, before the driver puts the chunks together."""
+    level = counted.where("chunk is not null").select("chunk", "grp", "counts")
+    groups = (level.agg(F.max("grp")).first()[0] or 0) + 1
+    while True:
+        level = level.groupBy("chunk", "grp").applyInArrow(_add_counts, "chunk int, grp int, counts binary")
+        if groups <= 1:
+            break
+        groups = -(-groups // FAN_IN)
     whole = np.zeros(1 << SKETCH_BITS, np.uint8)
-    for r in level.groupBy("chunk").applyInArrow(_add_counts, "chunk int, counts binary").toLocalIterator():
+    for r in level.toLocalIterator():
         whole[r["chunk"] << CHUNK_BITS : (r["chunk"] + 1) << CHUNK_BITS] = _unzip(bytes(r["counts"]), np.uint8)
     return whole
 
 
-def _rarity(df: np.ndarray, order: int) -> np.ndarray:
-    """How common tokens are, by three scales: exact, in powers of two, in steps of a third."""
-    if order == 0:
-        return df
-    return np.round(np.log2(np.maximum(df, 1)) * (1 if order == 1 else 3)).astype(np.uint64)
+_POSTED = "g long, i int, j int, fp binary, n binary, doc binary, key binary"
+
+
+def _row(g: int, i: int, j: int, *cols: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays(
+        [pa.array([g], pa.int64()), pa.array([i], pa.int32()), pa.array([j], pa.int32())] + [pa.array([_zip(c)], pa.binary()) for c in cols],
+        names=["g", "i", "j", "fp", "n", "doc", "key"],
+    )
+
 
+def _postings(sketch, n_ranges: int, hot: float, num: int, den: int, flush_keys: int, block: int):
+    """Packed kept keys: rows of range g (i = j = -1), sorted by key; of a hot key g, rows of its blocks i and j."""
 
-def _postings(sketch, n_ranges: int, num: int, den: int):
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = sketch.value
+        codes = sketch.value
         held: list[tuple] = []
+        seen: set[int] = set()
         size = 0
+        nothing = np.zeros(0, np.uint64)
 
         def flush():
             nonlocal size
             fps, ns = np.concatenate([x[0] for x in held]), np.concatenate([x[1] for x in held])
-            maps = [m for x in held for m in x[2]]
             base = np.cumsum([0] + [len(x[0]) for x in held])
-            doc = np.concatenate([x[3] + b for x, b in zip(held, base, strict=False)])
-            rng, tok, mask = (np.concatenate([x[i] for x in held]) for i in (4, 5, 6))
+            doc = np.concatenate([x[2] + b for x, b in zip(held, base, strict=False)])
+            key, code = np.concatenate([x[3] for x in held]), np.concatenate([x[4] for x in held])
             held.clear()
             size = 0
-            order = np.lexsort((doc, rng))
-            doc, rng, tok, mask = doc[order], rng[order], tok[order], mask[order]
-            cut = np.searchsorted(rng, np.arange(n_ranges + 1))
+            order = np.argsort(key)
+            doc, key, code = doc[order], key[order], code[order]
+            warm = _counts(code) >= hot
+            if warm.any():
+                d, k, c = doc[warm], key[warm], code[warm]
+                doc, key = doc[~warm], key[~warm]
+                cut = np.flatnonzero(np.r_[True, k[1:] != k[:-1], True])
+                for lo, hi in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
+                    blocks = int(_counts(c[lo : lo + 1])[0] // block) + 1
+                    own = (fps[d[lo:hi]].view(np.uint64) % np.uint64(blocks)).astype(np.int64)
+                    for o in np.unique(own).tolist():
+                        mine = d[lo:hi][own == o]
+                        for x in range(blocks):
+                            yield _row(int(k[lo]), min(o, x), max(o, x), fps[mine], ns[mine], np.array([o], np.uint32), nothing)
+            rng = (key * np.uint64(n_ranges)) >> np.uint64(BITS)
+            cut = np.searchsorted(rng, np.arange(n_ranges + 1, dtype=np.uint64))
             for r in range(n_ranges):
-                lo, hi = cut[r], cut[r + 1]
-                if lo == hi:
-                    continue
-                d = doc[lo:hi]
-                new = np.flatnonzero(np.r_[True, d[1:] != d[:-1]])
-                d = d[new]
-                k = np.diff(np.r_[new, hi - lo]).astype(np.int32)
-                row = (_zip(fps[d]), _zip(ns[d]), _zip(k), b"".join([maps[i] for i in d.tolist()]), _zip(tok[lo:hi]), _zip(mask[lo:hi]))
-                yield pa.RecordBatch.from_arrays([pa.array([r], pa.int32())] + [pa.array([c], pa.binary()) for c in row], names=["rng", "fp", "n", "k", "maps", "tok", "mask"])
+                lo, hi = int(cut[r]), int(cut[r + 1])
+                if lo < hi:
+                    texts, local = np.unique(doc[lo:hi], return_inverse=True)
+                    yield _row(r, -1, -1, fps[texts], ns[texts], local.astype(np.uint32), np.diff(key[lo:hi], prepend=np.uint64(0)))
 
         for b in parts:
             for lo, hi, text, h in batches(b.column("text").to_pylist(), b.column("tag").to_pylist()):
                 if not len(h):
                     continue
                 n, fp = fingerprints(text, h, hi - lo)
-                df = counts[(h >> np.uint64(BITS - SKETCH_BITS)).astype(np.int64)].astype(np.uint64)
-                start = np.concatenate([[0], np.cumsum(n)[:-1]])
-                most = prefix_length(n, num, den)
-                mask = np.zeros(len(h), np.uint8)
-                place = np.arange(len(h)) - start[text]
-                inside = place < most[text]
-                top = text.astype(np.uint64) << np.uint64(44)
-                for k in range(ORDERS):
-                    key = top | (_rarity(df, k) << np.uint64(36)) | (mix(h + np.uint64(1000 + k)) >> np.uint64(28))
-                    by = np.argsort(key)
-                    mask[by[inside]] |= np.uint8(1 << k)
-                maps = bitmaps(text, h, n)
-                some = np.flatnonzero(mask)
-                h, text = h[some], text[some]
-                held.append((fp, n.astype(np.int32), maps, text, (h % np.uint64(n_ranges)).astype(np.int32), (h // np.uint64(n_ranges)).astype(np.uint32), mask[some]))
-                size += len(some)
-                if size >= FLUSH_POSTINGS:
+                doc, key = neighbour_keys(text, h, n)
+                code = codes[(key >> np.uint64(BITS - SKETCH_BITS)).astype(np.int64)]
+                # by text, then from rare to common; of equals by hash
+                order = np.argsort((doc.astype(np.uint64) << np.uint64(44)) | (code.astype(np.uint64) << np.uint64(36)) | (mix(key) >> np.uint64(28)))
+                doc, key, code = doc[order], key[order], code[order]
+                m = np.bincount(doc, minlength=hi - lo)
+                place = np.arange(len(doc)) - (np.cumsum(m) - m)[doc]
+                new = np.zeros(hi - lo, bool)
+                for i, f in enumerate(fp.tolist()):
+                    if n[i] and f not in seen:
+                        seen.add(f)
+                        new[i] = True
+                kept = (place < (m - left_out(n, num, den))[doc]) & new[doc]
+                held.append((fp, n.astype(np.int32), doc[kept], key[kept], code[kept]))
+                size += int(kept.sum())
+                if size >= flush_keys:
                     yield from flush()
-        if held:
+        if size:
             yield from flush()
 
     return run
 
 
-_PAIRS = "fa long, fb long, na int, nb int, c0 int, c1 int, c2 int"
-_PAIR_SCHEMA = pa.schema([("fa", pa.int64()), ("fb", pa.int64()), ("na", pa.int32()), ("nb", pa.int32()), ("c0", pa.int32()), ("c1", pa.int32()), ("c2", pa.int32())])
-#: Pairs that a range holds at once before it combines those of the same two texts.
-COMBINE = 3_000_000
+_PAIRS = "fa long, fb long, na int, nb int, c int"
+_PAIR_SCHEMA = pa.schema([("fa", pa.int64()), ("fb", pa.int64()), ("na", pa.int32()), ("nb", pa.int32()), ("c", pa.int32())])
+
+
+class _Pairs:
+    """Pairs of numbered sets of fitting sizes, counted."""
+
+    def __init__(self, ids: np.ndarray, size: np.ndarray, num: int, den: int):
+        self.ids, self.size, self.num, self.den, self.held, self.n = ids, size, num, den, [], 0
+
+    def add(self, a: np.ndarray, b: np.ndarray) -> None:
+        x, y = self.size[a], self.size[b]
+        ok = np.minimum(x, y) * self.den >= np.maximum(x, y) * self.num
+        if ok.any():
+            self.held.append((a[ok] * len(self.ids) + b[ok], np.ones(int(ok.sum()), np.int64)))
+            self.n += int(ok.sum())
+            if self.n >= COMBINE:
+                self._combine()
+
+    def _combine(self) -> None:
+        key, c = (np.concatenate(x) for x in zip(*self.held, strict=True))
+        u, inv = np.unique(key, return_inverse=True)
+        self.held, self.n = [(u, np.bincount(inv, c, len(u)).astype(np.int64))], 0
+
+    def table(self) -> pa.Table:
+        if not self.held:
+            return _PAIR_SCHEMA.empty_table()
+        self._combine()
+        key, c = self.held[0]
+        a, b = key // len(self.ids), key % len(self.ids)
+        return pa.table([self.ids[a], self.ids[b], self.size[a].astype(np.int32), self.size[b].astype(np.int32), c.astype(np.int32)], schema=_PAIR_SCHEMA)
+
+
+def _in_blocks(fp: np.ndarray, n: np.ndarray, own: np.ndarray, num: int, den: int) -> pa.Table:
+    """Pairs of a hot key's texts: between two blocks, or inside of one."""
+    ids, first = np.unique(fp, return_index=True)
+    size, own = n[first].astype(np.int64), own[first]
+    pairs = _Pairs(ids, size, num, den)
+    one = own.min() == own.max()
+    left = np.flatnonzero(own == own.min())
+    right = left if one else np.flatnonzero(own != own.min())
+    step = max(1, COMBINE // (2 * len(right)))
+    for at in range(0, len(left), step):
+        a, b = (x.reshape(-1) for x in np.meshgrid(left[at : at + step], right, indexing="ij"))
+        if one:
+            a, b = a[a < b], b[a < b]
+        pairs.add(np.minimum(a, b), np.maximum(a, b))
+    return pairs.table()
 
 
 def _meet(num: int, den: int):
-    def run(t: pa.Table) -> pa.Table:
-        cols = {c: t.column(c).to_pylist() for c in ("fp", "n", "k", "tok", "mask")}
-        kinds = {"fp": np.int64, "n": np.int32, "k": np.int32, "tok": np.uint32, "mask": np.uint8}
-        fp, n, k, tok, mask = (np.concatenate([_unzip(x, kinds[c]) for x in cols[c]]) for c in cols)
+    """The pairs that meet in a range, or in two blocks of a hot key."""
+
+    def run(group: tuple, t: pa.Table) -> pa.Table:
+        cols = {c: t.column(c).to_pylist() for c in ("fp", "n", "doc", "key")}
+        fps, ns, docs = [_unzip(x, np.int64) for x in cols["fp"]], [_unzip(x, np.int32) for x in cols["n"]], [_unzip(x, np.uint32) for x in cols["doc"]]
+        fp, n = np.concatenate(fps), np.concatenate(ns)
+        if (i := group[1].as_py()) >= 0:
+            own = np.repeat(np.concatenate(docs).astype(np.int64), [len(x) for x in fps])
+            if i != group[2].as_py() and own.min() == own.max():
+                return _PAIR_SCHEMA.empty_table()
+            return _in_blocks(fp, n, own, num, den)
         ids, first, number = np.unique(fp, return_index=True, return_inverse=True)
-        size = n[first].astype(np.int64)
-        whole = b"".join(t.column("maps").to_pylist())
-        ends = np.cumsum(bitmap_bits(n) // 8)
-        maps = Bitmaps(size, [whole[e - w : e] for e, w in zip(ends[first].tolist(), (bitmap_bits(size) // 8).tolist(), strict=True)])
-        del whole
-        # by token and then text; equal sets that came from different tasks fall together
-        both, at = np.unique((tok.astype(np.uint64) << np.uint64(32)) | np.repeat(number, k).astype(np.uint64), return_index=True)
-        mask = mask[at]
-        tok, doc = both >> np.uint64(32), (both & np.uint64(0xFFFFFFFF)).astype(np.int64)
-        start = np.flatnonzero(np.r_[True, tok[1:] != tok[:-1]])
-        length = np.diff(np.r_[start, len(tok)])
-        out: list[tuple] = []
-        held, n_held = [], 0
-
-        def combine():
-            nonlocal n_held
-            if held:
-                key, m = (np.concatenate(x) for x in zip(*held, strict=True))
-                held.clear()
-                n_held = 0
-                u, inv = np.unique(key, return_inverse=True)
-                out.append((u, *(np.bincount(inv, (m >> b) & 1, len(u)).astype(np.int32) for b in range(ORDERS))))
-
-        def add(i, j):
-            nonlocal n_held
-            a, b = doc[i], doc[j]
-            m = mask[i] & mask[j]
-            ok = (m > 0) & (np.minimum(size[a], size[b]) * den >= np.maximum(size[a], size[b]) * num)
-            a, b, m = a[ok], b[ok], m[ok]
-            ok = maps.close(a, b, num, den)
-            if ok.any():
-                held.append((a[ok] * len(ids) + b[ok], m[ok]))
-                n_held += int(ok.sum())
-                if n_held >= COMBINE:
-                    combine()
-
-        for d in range(1, int(length.max()) if len(length) else 0):
+        base = np.cumsum([0] + [len(x) for x in fps])
+        doc = number[np.concatenate([d + np.int64(b) for d, b in zip(docs, base, strict=False)])]
+        key = np.concatenate([np.cumsum(_unzip(x, np.uint64), dtype=np.uint64) for x in cols["key"]])
+        # by key and then text; equal sets that came from different tasks fall together
+        order = np.lexsort((doc, key))
+        doc, key = doc[order], key[order]
+        new = np.r_[True, (key[1:] != key[:-1]) | (doc[1:] != doc[:-1])]
+        doc, key = doc[new], key[new]
+        start = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+        length = np.diff(np.r_[start, len(key)])
+        pairs = _Pairs(ids, n[first].astype(np.int64), num, den)
+        for d in range(1, int(length.max())):
             # every pair of places d apart in the same run
             runs = length > d
             s, e = start[runs], length[runs] - d
-            reps = np.repeat(s - np.concatenate([[0], np.cumsum(e)[:-1]]), e)
-            i = reps + np.arange(len(reps))
-            add(i, i + d)
-        combine()
-        if not out:
-            return _PAIR_SCHEMA.empty_table()
-        key, *c = (np.concatenate(x) for x in zip(*out, strict=True))
-        a, b = key // len(ids), key % len(ids)
-        return pa.table([ids[a], ids[b], size[a].astype(np.int32), size[b].astype(np.int32), *c], schema=_PAIR_SCHEMA)
+            at = np.repeat(s - np.concatenate([[0], np.cumsum(e)[:-1]]), e)
+            at += np.arange(len(at))
+            pairs.add(doc[at], doc[at + d])
+        return pairs.table()
 
     return run
 
 
-def candidates(texts: DataFrame, counted: DataFrame, num: int = NUM, den: int = DEN) -> DataFrame:
-    """(fa, fb, na, nb): pairs of sets that pass the filter under every order."""
-    spark = texts.sparkSession
-    total = counted.where("id is not null").agg(F.sum("n")).first()[0] or 0
-    n_ranges = max(12, -(-total * 9 // (20 * RANGE_POSTINGS)))
-    sketch = spark.sparkContext.broadcast(sketch_of(counted))
-    posted = texts.mapInArrow(_postings(sketch, n_ranges, num, den), "rng int, fp binary, n binary, k binary, maps binary, tok binary, mask binary")
-    met = posted.groupBy("rng").applyInArrow(_meet(num, den), _PAIRS)
-    shared = met.groupBy("fa", "fb", "na", "nb").agg(*[F.sum(f"c{i}").alias(f"c{i}") for i in range(ORDERS)])
-    need = lambda c: F.least(1 + F.floor(F.col(c) / 20), F.ceil(F.col(c) * num / F.lit(den)))
-    both = F.least(need("na"), need("nb"))
-    return shared.where((F.col("c0") >= both) & (F.col("c1") >= both) & (F.col("c2") >= both)).select("fa", "fb", "na", "nb")
+def candidates(texts: DataFrame, counted: DataFrame, num: int = NUM, den: int = DEN, range_keys: int = RANGE_KEYS, hot_texts: int = HOT_TEXTS, block: int = BLOCK) -> DataFrame:
+    """(fa, fb, na, nb): pairs of sets that share enough keys of the first order."""
+    total = counted.where("n > 0").agg(F.sum(F.col("n") + 1 - F.floor(F.col("n") * ((2 * num - den) * 3) / F.lit(4 * den)))).first()[0] or 0
+    n_ranges = max(1, -(-total // range_keys))
+    hot = max(hot_texts, HOT_MEANS * total / (1 << SKETCH_BITS))
+    sketch = texts.sparkSession.sparkContext.broadcast(sketch_of(counted))
+    posted = texts.mapInArrow(_postings(sketch, n_ranges, hot, num, den, FLUSH_KEYS, block), _POSTED)
+    met = posted.groupBy("g", "i", "j").applyInArrow(_meet(num, den), _PAIRS)
+    shared = met.groupBy("fa", "fb").agg(F.max("na").alias("na"), F.max("nb").alias("nb"), F.sum("c").alias("c"))
+    return shared.where(F.col("c") >= least_keys(F.col("na"), F.col("nb"), num, den)).select("fa", "fb", "na", "nb")
 
 
 def _sets(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -304,22 +346,49 @@ def _sets(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([b.column("fp").slice(lo, hi - lo), sets], names=["fp", "s"])
 
 
-def similar_sets(texts: DataFrame, num: int = NUM, den: int = DEN) -> tuple[DataFrame, DataFrame]:
+def _verify(num: int, den: int):
+    """(fa, fb, common, united) of the pairs that pass the filters of the other orders and are similar."""
+
+    def prefix(s: np.ndarray, order: int) -> np.ndarray:
+        by = mix(s + np.uint64(1000 + order))
+        p = int(prefix_length(len(s), num, den))
+        return np.sort(by if p >= len(s) else np.partition(by, p - 1)[:p])
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in parts:
+            sides = []
+            for c in ("sa", "sb"):
+                lists = batch.column(c)
+                ends = lists.offsets.to_numpy()
+                flat = lists.values.to_numpy(zero_copy_only=False).view(np.uint64)
+                sides.append([flat[x:y] for x, y in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)])
+            common = np.zeros(len(batch), np.int64)
+            for i, (a, b) in enumerate(zip(*sides, strict=True)):
+                least = min(int(least_shared(len(a), num, den)), int(least_shared(len(b), num, den)))
+                if all(len(np.intersect1d(prefix(a, k), prefix(b, k), assume_unique=True)) >= least for k in OTHER_ORDERS):
+                    common[i] = len(np.intersect1d(a, b, assume_unique=True))
+            united = np.array([len(a) + len(b) for a, b in zip(*sides, strict=True)], np.int64) - common
+            yield pa.RecordBatch.from_arrays([batch.column("fa"), batch.column("fb"), pa.array(common), pa.array(united)], names=["fa", "fb", "common", "united"]).filter(pa.array(common * den >= united * num))
+
+    return run
+
+
+def similar_sets(texts: DataFrame, num: int = NUM, den: int = DEN, **sizes: int) -> tuple[DataFrame, DataFrame]:
     """(fa, fb, common, united) of the similar pairs of different sets, and (tag, id, fp) of every text with a set.
 
-    texts: (tag int, id bigint, text string), one row per tag and id, no null text.
+    texts: (tag int, id bigint, text string), one row per tag and id, no null text. sizes: those of candidates().
     """
+    if 2 * num <= den:
+        raise ValueError("the threshold must be over a half")
     counted = durable(texts.mapInArrow(_count, _COUNT), "counted")
     members = counted.where("id is not null and n > 0").select("tag", "id", "fp")
-    pairs = durable(candidates(texts, counted, num, den), "candidates")
+    pairs = durable(candidates(texts, counted, num, den, **sizes), "candidates")
     wanted = pairs.select(F.explode(F.array("fa", "fb")).alias("fp")).distinct()
     reps = durable(members.join(wanted, "fp", "left_semi").groupBy("fp").agg(F.min(F.struct("tag", "id")).alias("r")).select("fp", "r.tag", "r.id"), "reps")
     sets = durable(sized_join(texts, reps, ["tag", "id"]).mapInArrow(_sets, "fp long, s array<long>"), "sets")
     a = pairs.join(sets.select(F.col("fp").alias("fa"), F.col("s").alias("sa")), "fa")
-    both = a.join(sets.select(F.col("fp").alias("fb"), F.col("s").alias("sb")), "fb")
-    common = both.select("fa", "fb", "na", "nb", F.size(F.array_intersect("sa", "sb")).alias("common"))
-    united = F.col("na") + F.col("nb") - F.col("common")
-    return durable(common.select("fa", "fb", "common", united.alias("united")).where(F.col("common") * den >= F.col("united") * num), "similar"), members
+    both = a.join(sets.select(F.col("fp").alias("fb"), F.col("s").alias("sb")), "fb").select("fa", "fb", "sa", "sb")
+    return durable(both.mapInArrow(_verify(num, den), "fa long, fb long, common long, united long"), "similar"), members
 
 
 def both_tables(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,20 +5,10 @@ import datetime as dt
 import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
-from helpers import oracle_rows, rows
 
 import __spark_entry__ as entry
 
 D = dt.date
-#: What cuts the SQL of a query whose code does the whole job, and what stands in its place without the cut.
-UNCUT = {
-    "b6_verify": (" where candidate_id % 7 = 0", ""),
-    "f15_coalesce": (" and user_id % 2 = 0", ""),
-    "d3_postings": (" having count(*) >= 20", ""),
-    "d25_redact": ("left(text, 100)", "text"),
-}
-
-
 @pytest.fixture
 def planted(data, tmp_path):
     """planted(table=[rows]) is a folder of the given tables; columns left out are null, and tables left out are empty."""
@@ -90,12 +80,6 @@ def test_redaction_and_repair_reach_the_end_of_a_text(spark, planted):
     assert query("d22_repair")(spark, d).first()["repaired"].endswith(talk + "api_key=" + "ab12" * 8 + " up to £43.5m. The end.")
 
 
-@pytest.mark.parametrize("name", sorted(UNCUT))
-def test_whole_job_against_sql_without_the_cut(spark, duck, data, name):
-    cols, got = rows(query(name)(spark, data))
-    assert got == oracle_rows(duck, entry.oracle_sql()[name].replace(*UNCUT[name]), cols)
-
-
 def test_no_filing_is_lost_behind_many_candidates(spark, planted):
     docs = [doc(1, D(2025, 3, 1), "Nothing."), doc(2, D(2025, 6, 1), "Nothing.")]
     said = lambda i, d, n, score: {"ticker": "ACME", "metric": "Gross margin", "context": f"Gross margin{' of late' * n} {40 + i / 1000:.3f}%.", "source_path": docs[d]["rel_path"], "score": score}

@@ -10,6 +10,7 @@ STOP_WORDS = (
     "a an and are as at be been but by for from has have how in into is it its of on or "
     "that the their there these this to was were what when which who will with"
 ).split()
+#: Fixed value: a word token.
 TOKEN = r"[a-z0-9][a-z0-9.'\-]*"
 #: Invisible characters that are dropped, and the no-break space.
 ZERO_WIDTH = "​﻿"
@@ -23,8 +24,10 @@ SECRETS = (
     r"(?i)\bbearer\s+[A-Za-z0-9._\-]{16,}",
     r"(?i)\bapi[_-]?key\s*[=:]\s*[A-Za-z0-9._\-]{16,}",
 )
-#: Figures shown beside an excerpt.
-FIGURE = r"(?i)(?:[$£€] *)?\(?-?[0-9](?:[0-9,]*[0-9])?(?:\.[0-9]+)?\)?(?: *(?:%|percent|million|billion|bn|pence))?"
+#: Fixed value: figures shown beside an excerpt.
+FIGURE = r"(?i)(?<![\p{L}\p{N}_])(?:[$£€]\s*)?\(?-?\d(?:[\d,]*\d)?(?:\.\d+)?\)?(?:\s*(?:%|percent|million|billion|bn|m\b|pence|p\b|per\s+share))?"
+#: Blanks that page extraction leaves inside numbers, before units and around hyphens, with what replaces them.
+REPAIRS = ((r"(?<=\d)\s+(?=\.)|(?<=\.)\s+(?=\d)", ""), (r"(?<=\d)\s+(?=[\d.])", ""), (r"(?i)(?<=\d)\s+(?=(?:m|bn|million|billion)\b)", ""), (r"\s*-\s*(?=[A-Za-z])", "-"))
 
 
 def normalise(c: Column) -> Column:
@@ -46,13 +49,13 @@ def tokens(c: Column, stop: list[str] = STOP_WORDS, min_length: int = 2) -> Colu
 
 def figures(c: Column, limit: int = 12) -> Column:
     """The first distinct figures of a text, in order, of two characters or more."""
-    found = F.transform(F.regexp_extract_all(c, F.lit(FIGURE), F.lit(0)), lambda x: F.trim(x))
+    found = F.transform(F.regexp_extract_all(c, F.lit(FIGURE), F.lit(0)), lambda x: F.btrim(x, F.lit(" \t\n\r")))
     return F.slice(F.array_distinct(F.filter(found, lambda x: F.length(x) >= 2)), 1, limit)
 
 
 def repair_numbers(c: Column) -> Column:
     """Closes the blanks that page extraction leaves inside numbers, before their units and around hyphens."""
-    for pattern, to in ((r"(?<=\d)\s+(?=\.)|(?<=\.)\s+(?=\d)", ""), (r"(?<=\d)\s+(?=[\d.])", ""), (r"(?i)(?<=\d)\s+(?=(?:m|bn|million|billion)\b)", ""), (r"\s*-\s*(?=[A-Za-z])", "-")):
+    for pattern, to in REPAIRS:
         c = F.regexp_replace(c, pattern, to)
     return c
 

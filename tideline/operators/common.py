@@ -7,6 +7,8 @@ import os
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -49,9 +51,14 @@ def spread(df: DataFrame) -> DataFrame:
 
 
 def work_dir(spark: SparkSession) -> str:
-    """The shared folder for intermediate tables: the one the session names, else a fresh local one (tests)."""
+    """The shared folder for intermediate tables: the one the session names, else a fresh local one (tests).
+
+    Without a named folder a cluster is refused: each of its executors would write to a disk of its own.
+    """
     base = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         base = tempfile.mkdtemp(prefix="tideline-")
         spark.sparkContext.setCheckpointDir(base)
         atexit.register(shutil.rmtree, base, True)
@@ -65,14 +72,37 @@ def durable(df: DataFrame, tag: str = "t") -> DataFrame:
     The rows survive the loss of any executor, since no executor keeps them.
     """
     path = f"{work_dir(df.sparkSession)}/tideline-{tag}-{uuid.uuid4().hex}"
+    for held in _scratch:
+        held.append(path)
     df.write.parquet(path)
     if path.startswith(("/", "file:")):
         atexit.register(shutil.rmtree, os.path.abspath(path.removeprefix("file:").replace("///", "/").replace("//", "/")), True)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: The tables written inside each open scratch().
+_scratch: list[list[str]] = []
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Deletes the intermediate tables written inside of it when it ends, on whatever file system they are.
+
+    A query's result must have been written or collected by then.
+    """
+    _scratch.append(paths := [])
+    try:
+        yield
+    finally:
+        _scratch.remove(paths)
+        hadoop = spark._jvm.org.apache.hadoop.fs.Path
+        for p in paths:
+            f = hadoop(p)
+            f.getFileSystem(spark._jsc.hadoopConfiguration()).delete(f, True)
+
+
 def once_per_key(df: DataFrame, key: str) -> DataFrame:
-    """One row per key, null keys dropped.
+    """One row per key, null keys dropped; of rows that differ the least by their columns in order of name, nulls first.
 
     Only the key column is read to learn whether any key repeats; where none does (the usual case) the rows stay
     where they are and nothing wide is shuffled.
@@ -82,7 +112,11 @@ def once_per_key(df: DataFrame, key: str) -> DataFrame:
     if repeated.isEmpty():
         return df
     single = df.join(repeated, key, "left_anti")
-    return single.unionByName(df.join(repeated, key, "left_semi").dropDuplicates([key]).select(single.columns))
+    others = sorted(c for c in df.columns if c != key)
+    if not others:
+        return df.distinct()
+    least = df.join(repeated, key, "left_semi").groupBy(key).agg(F.min(F.struct(*others)).alias("_least"))
+    return single.unionByName(least.select(key, "_least.*").select(single.columns))
 
 
 #: A side of a join of at most this many narrow rows is broadcast; the rows are counted before.

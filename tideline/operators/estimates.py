@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .common import table
 from .quality import problems, units_ok
-from .relational import first_per_key
+from .relational import first_per_key, upper_median
 
 RANK = {"guidance": 3, "consensus": 2, "last_actual": 1}
 
@@ -144,8 +144,7 @@ def g16_market_gap(spark, sf_dir):
     e = table(spark, sf_dir, "guidance_anchors").where("value is not null").select("anchor_id", "series_id", "value").distinct()
     m = e.groupBy("series_id").agg(F.median("value").alias("m")).where("abs(m) > 1e-9")
     g = e.join(m, "series_id").select("series_id", F.abs((F.col("value") - F.col("m")) / F.abs("m")).alias("gap"))
-    a = g.groupBy("series_id").agg(F.array_sort(F.collect_list("gap")).alias("a"))
-    return a.select("series_id", F.round(F.element_at("a", (F.floor(F.size("a") / 2) + 1).cast("int")), 6).alias("gap"))
+    return g.groupBy("series_id").agg(F.round(upper_median("gap"), 6).alias("gap"))
 
 
 def g19_coverage(spark, sf_dir):

@@ -128,5 +128,5 @@ ORACLES = {
     "m2_problems": "with x as (select l_orderkey || '-' || l_linenumber as key, unnest(list_filter([case when l_discount > 0.09 then 'discount over 9 %' end, case when l_tax >= 0.08 then 'tax of 8 %' end, case when l_quantity >= 49 then 'large' end, case when l_extendedprice / l_quantity > 2000 then 'price' end], lambda z: z is not null)) as problem from lineitem) select problem, count(*) as n, count(distinct key) as items from x group by 1",
     "m4_tieout": f"with {_P}, a as (select key, sum(cents) as c from p group by 1) select key, c / 100.0 as by_quarter, c / 100.0 as by_order, true as ties from a",
     "m6_postprocess": "with d as (select distinct on (lower(source_url)) lower(source_url) as url, source from documents where source_url is not null order by lower(source_url), doc_id) select source, count(*) as kept, count(*) filter (contains(url, 'wexhollow')) as blocked from d group by 1",
-    "b6_verify": "with s as (select distinct ticker, metric from company_metrics), g as (select distinct ticker, metric from value_candidates where candidate_id % 7 = 0) select *, 'missing' as problem from (select * from s except select * from g) union all select *, 'unknown' from (select * from g except select * from s)",
+    "b6_verify": "with s as (select distinct ticker, metric from company_metrics), g as (select distinct ticker, metric from value_candidates) select *, 'missing' as problem from (select * from s except select * from g) union all select *, 'unknown' from (select * from g except select * from s)",
 }

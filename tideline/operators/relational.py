@@ -35,6 +35,11 @@ def merge_attempts(first: DataFrame, second: DataFrame, key: str) -> DataFrame:
     return j.select(key, F.when(use_b, F.col("b.value")).otherwise(F.col("a.value")).alias("value"), F.when(use_b, "second").otherwise("first").alias("kept"))
 
 
+def upper_median(column: str) -> Column:
+    """The upper of the middle values; equal values are counted before they are shuffled."""
+    return F.expr(f"percentile_disc(0.5) within group (order by {column} desc)")
+
+
 def coalesce_outer(first: DataFrame, second: DataFrame, key: list[str], fields: list[str]) -> DataFrame:
     """Full outer join on key; each field from the first side that has it."""
     b = second.select(*key, *[F.col(f).alias(f"_{f}") for f in fields])
@@ -208,8 +213,7 @@ def g9_cost(spark, sf_dir):
 def g12_upper_median(spark, sf_dir):
     """The upper of the middle values, and how many are above zero, per metric."""
     v = table(spark, sf_dir, "value_candidates").select("candidate_id", "metric", "value").distinct()
-    g = v.groupBy("metric").agg(F.array_sort(F.collect_list("value")).alias("a"), F.count_if(F.col("value") > 0).alias("above"))
-    return g.select("metric", F.element_at("a", (F.floor(F.size("a") / 2) + 1).cast("int")).alias("upper_median"), "above")
+    return v.groupBy("metric").agg(upper_median("value").alias("upper_median"), F.count_if(F.col("value") > 0).alias("above"))
 
 
 def g20_keep_first(spark, sf_dir):
@@ -309,7 +313,7 @@ ORACLES = {
     "f4_pivot": "select metric, nullif(count(distinct id) filter (s = 'a'), 0) as anchors, nullif(count(distinct id) filter (s = 'c'), 0) as candidates, nullif(count(distinct id) filter (s = 'e'), 0) as evidence from (select metric, 'a' as s, anchor_id as id from guidance_anchors union all select metric, 'c', candidate_id from value_candidates union all select metric, 'e', evidence_id from evidence) group by 1",
     "f9_theta": "with f as (select * from (values (1, 'eps', 'share'), (2, 'margin', 'percent'), (3, 'sales', 'money'), (4, 'revenue', 'money'), (5, 'fees', 'money'), (6, 'income', 'money')) t(ord, needle, family)), j as (select metric, needle, family, row_number() over (partition by metric order by ord) as k from (select distinct metric from company_metrics) join f on contains(lower(metric), needle)) select metric, needle, family from j where k = 1",
     "f14_merge": "with t as (select task_id, status, row_number() over (partition by task_id order by loaded_at, status) as a, row_number() over (partition by task_id order by loaded_at desc, status desc) as b, count(*) over (partition by task_id) as n from tasks), f as (select task_id, max(case when a = 1 then status end) as s1, max(case when b = 1 and n > 1 then status end) as s2 from t group by 1), g as (select *, case s1 when 'completed' then 0 when 'running' then 1 else 2 end as e1, case s2 when 'completed' then 0 when 'running' then 1 else 2 end as e2 from f) select task_id, case when s2 is not null and e2 < e1 then s2 else s1 end as value, case when s2 is not null and e2 < e1 then 'second' else 'first' end as kept from g",
-    "f15_coalesce": "with a as (select cast(ts as date) as day, user_id, sum(cast(round(value * 10000) as bigint)) / 10000.0 as total from events where event_type = 'purchase' and user_id % 2 = 0 group by 1, 2), b as (select cast(ts as date) as day, user_id, sum(cast(round(value * 10000) as bigint)) / 10000.0 as total, count(*) as n from events where event_type = 'signup' group by 1, 2) select coalesce(a.day, b.day) as day, coalesce(a.user_id, b.user_id) as user_id, coalesce(a.total, b.total) as total, b.n from a full join b on a.day = b.day and a.user_id = b.user_id",
+    "f15_coalesce": "with a as (select cast(ts as date) as day, user_id, sum(cast(round(value * 10000) as bigint)) / 10000.0 as total from events where event_type = 'purchase' group by 1, 2), b as (select cast(ts as date) as day, user_id, sum(cast(round(value * 10000) as bigint)) / 10000.0 as total, count(*) as n from events where event_type = 'signup' group by 1, 2) select coalesce(a.day, b.day) as day, coalesce(a.user_id, b.user_id) as user_id, coalesce(a.total, b.total) as total, b.n from a full join b on a.day = b.day and a.user_id = b.user_id",
     "g1_group_count": "select company_slug, strftime(published_at, '%Y-%m') as month, count(*) as documents from documents where published_at is not null group by 1, 2",
     "g9_cost": "with t as (select *, row_number() over (partition by task_id order by loaded_at desc, status desc nulls last) as k from tasks) select model, count(*) as tasks, cast(sum(coalesce(prompt_tokens, 0)) as bigint) as prompt, cast(sum(coalesce(cached_tokens, 0)) as bigint) as cached, cast(sum(coalesce(completion_tokens, 0)) as bigint) as completion, cast(sum(coalesce(requests, 0)) as bigint) as requests, sum(cast(round(coalesce(cost_usd, 0.0) * 10000) as bigint)) / 10000.0 as cost from t where k = 1 group by 1",
     "g12_upper_median": "with v as (select distinct candidate_id, metric, value from value_candidates), r as (select metric, value, row_number() over (partition by metric order by value) as k, count(*) over (partition by metric) as n from v) select metric, max(case when k = n // 2 + 1 then value end) as upper_median, count(*) filter (value > 0) as above from r group by 1",

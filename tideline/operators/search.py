@@ -220,7 +220,7 @@ _REC = "(case when published_at is null then 1 else 1 + pow(0.5, greatest(0, dat
 _BOOST = f"(case when contains(lower(text), '{PHRASE}') then 1.35 else 1 end)"
 _DOC_TOK = "regexp_extract_all(lower(" + _NORM + "), '[a-z0-9][a-z0-9.''\\-]*')"
 ORACLES = {
-    "d3_postings": f"with {_passages_sql()}, x as (select doc_id, ordinal, unnest(t) as term from p), y as (select term, doc_id, ordinal, count(*) as tf from x group by all) select term, count(*) as df, cast(sum(tf) as bigint) as cf from y group by 1 having count(*) >= 20",
+    "d3_postings": f"with {_passages_sql()}, x as (select doc_id, ordinal, unnest(t) as term from p), y as (select term, doc_id, ordinal, count(*) as tf from x group by all) select term, count(*) as df, cast(sum(tf) as bigint) as cf from y group by 1",
     "d4_bm25_topk": _bm25_sql(query_terms(QUERY)) + _cap_sql("score"),
     "d4_bm25_index": _bm25_sql(query_terms(QUERY)) + _cap_sql("score"),
     "d5_phrase": _bm25_sql(query_terms(PHRASE)) + _cap_sql(f"score * {_BOOST}"),

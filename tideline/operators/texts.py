@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import pairwise
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -25,39 +27,35 @@ def lines(documents: DataFrame) -> DataFrame:
 def chunks(documents: DataFrame, key: str = "doc_id", target: int = CHUNK_TARGET, most: int = CHUNK_MAX) -> DataFrame:
     """(key, ordinal, heading, text): passages under the heading in force, cut at a blank line past target or anywhere past most.
 
-    The cut depends on what the passage holds so far, so lines are folded one after the other, a whole text at a time
-    inside one Arrow batch; texts are independent and stay where they are.
+    Where a passage ends depends on where it began. From each beginning the two possible ends, the first blank line
+    past target and the first line past most, are found by binary search in the running sizes of the lines, so a text
+    takes as many steps as it has passages. Texts are independent and stay where they are.
     """
     heading = re.compile(r"(#{1,4})\s+(.*\S)\s*")
 
-    def fold(text: str) -> list[tuple[str, str]]:
-        out, head, held, size = [], "", [], 0
-
-        def close():
-            body = "\n".join(held).strip()
-            if body:
-                out.append((head, body))
-            held.clear()
-
-        for line in text.splitlines():
-            if m := heading.fullmatch(line):
-                close()
-                head, size = m[2], 0
-            elif not (bare := line.rstrip()) and size >= target:
-                close()
-                size = 0
-            else:
-                held.append(bare)
-                size += len(bare) + 1
-                if size >= most:
-                    close()
-                    size = 0
-        close()
+    def passages(text: str) -> list[tuple[str, str]]:
+        raw = text.splitlines()
+        heads = [(i, m[2]) for i, x in enumerate(raw) if x.startswith("#") and (m := heading.fullmatch(x))]
+        bare = [x.rstrip() for x in raw]
+        size = np.concatenate([[0], np.cumsum([len(x) + 1 for x in bare], dtype=np.int64)])
+        blank = np.array([i for i, x in enumerate(bare) if not x], np.int64)
+        size_at_blank = size[blank]
+        out = []
+        for (before, head), (end, _) in pairwise([(-1, ""), *heads, (len(raw), "")]):
+            at = before + 1
+            while at < end:
+                past_target = int(np.searchsorted(size_at_blank, size[at] + target))
+                gap = int(blank[past_target]) if past_target < len(blank) else end
+                full = int(np.searchsorted(size, size[at] + most))
+                stop, following = (gap, gap + 1) if gap < full else (full, full)
+                if body := "\n".join(bare[at : min(stop, end)]).strip():
+                    out.append((head, body))
+                at = following
         return out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = [(k, i + 1, h, t) for k, text in zip(b.column("k").to_pylist(), b.column("text").to_pylist(), strict=True) for i, (h, t) in enumerate(fold(text or ""))]
+            rows = [(k, i + 1, h, t) for k, text in zip(b.column("k").to_pylist(), b.column("text").to_pylist(), strict=True) for i, (h, t) in enumerate(passages(text or ""))]
             cols = list(zip(*rows, strict=True)) or [()] * 4
             yield pa.RecordBatch.from_arrays([pa.array(cols[0], b.column("k").type), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.string()), pa.array(cols[3], pa.string())], names=["k", "ordinal", "heading", "text"])
 
@@ -69,40 +67,83 @@ def chunks(documents: DataFrame, key: str = "doc_id", target: int = CHUNK_TARGET
 def find_in_text(documents: DataFrame, pattern: str, context: int = 2, most: int = 20) -> DataFrame:
     """(doc_id, line, excerpt): the first `most` lines of each document that match, with the lines around them.
 
-    A pattern that is no regular expression is taken literally.
+    A pattern that is no regular expression is taken literally. Everything happens inside the row.
     """
     try:
         re.compile(pattern)
     except re.error:
         pattern = re.escape(pattern)
-    by = Window.partitionBy("doc_id").orderBy("line")
-    around = F.array_join(F.collect_list("text").over(by.rowsBetween(-context, context)), "\n")
-    hits = lines(documents).withColumn("excerpt", around).where(F.col("text").rlike("(?i)" + pattern))
-    return hits.withColumn("k", F.row_number().over(by)).where(F.col("k") <= most).select("doc_id", "line", "excerpt")
+    numbered = F.transform(F.col("ls"), lambda x, i: F.when(x.rlike("(?i)" + pattern), i))
+    hits = F.slice(F.filter(numbered, lambda i: i.isNotNull()), 1, most)
+    excerpt = lambda i: F.array_join(F.slice(F.col("ls"), F.greatest(i - context, F.lit(0)) + 1, context + 1 + F.least(i, F.lit(context))), "\n")
+    d = documents.select("doc_id", F.split("text", "\n").alias("ls"))
+    return d.select("doc_id", F.inline(F.transform(hits, lambda i: F.struct((i + 1).alias("line"), excerpt(i).alias("excerpt")))))
 
 
 def sections(documents: DataFrame, max_level: int = 3) -> DataFrame:
     """(doc_id, index, level, title, first, last): sections from headings; the text before the first, and a text without any, is one too."""
-    ln = lines(documents.where("text is not null and text <> ''"))
-    level = F.length(F.regexp_extract("text", r"^(#{1,6})[ \t]+[^ \t]", 1))
-    page = F.regexp_extract("text", r"^<!-- PAGE ([0-9]+) -->", 1)
-    marked = ln.select("doc_id", "line", F.when(page != "", 1).otherwise(level).alias("level"), F.when(page != "", F.concat(F.lit("Page "), page)).otherwise(F.trim(F.regexp_replace("text", "^#+", ""))).alias("title"))
-    head = marked.where((F.col("level") > 0) & (F.col("level") <= max_level))
-    size = documents.where("text is not null and text <> ''").select("doc_id", F.size(F.split("text", "\n")).alias("n"), F.split("text", "\n")[0].alias("one"))
-    starts = size.select("doc_id", F.lit(1).alias("line"), F.lit(0).alias("level"), F.lit("").alias("title"))
-    by = Window.partitionBy("doc_id").orderBy("line", F.desc("level"))
-    both = head.unionByName(starts).withColumn("next", F.lead("line").over(by))
-    s = both.join(size.select("doc_id", "n"), "doc_id").select("doc_id", "level", "title", F.col("line").alias("first"), F.coalesce(F.col("next") - 1, "n").alias("last"))
-    s = s.where("first <= last")
-    return s.withColumn("index", F.row_number().over(Window.partitionBy("doc_id").orderBy("first"))).select("doc_id", "index", "level", "title", "first", "last")
-
-
-def tables(documents: DataFrame, marker: str = r"\|", least: int = 2) -> DataFrame:
-    """(doc_id, first, last, body): islands of at least `least` consecutive lines that hold the marker."""
-    rows = lines(documents).where(F.col("text").rlike(marker))
-    island = F.col("line") - F.row_number().over(Window.partitionBy("doc_id").orderBy("line"))
-    g = rows.withColumn("island", island).groupBy("doc_id", "island").agg(F.min("line").alias("first"), F.max("line").alias("last"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line", "text"))), lambda s: s["text"]), "\n").alias("body"))
-    return g.where(F.col("last") - F.col("first") + 1 >= least).select("doc_id", "first", "last", "body")
+    page = lambda x: F.regexp_extract(x, r"^<!-- PAGE ([0-9]+) -->", 1)
+    level = lambda x: F.when(page(x) != "", 1).otherwise(F.length(F.regexp_extract(x, r"^(#{1,6})[ \t]+[^ \t]", 1)))
+    title = lambda x: F.when(page(x) != "", F.concat(F.lit("Page "), page(x))).otherwise(F.trim(F.regexp_replace(x, "^#+", "")))
+    d = documents.where("text is not null and text <> ''").select("doc_id", F.split("text", "\n").alias("ls"))
+    marked = F.transform("ls", lambda x, i: F.struct((i + 1).alias("first"), level(x).alias("level"), title(x).alias("title")))
+    heads = F.filter(marked, lambda s: (s["level"] > 0) & (s["level"] <= max_level))
+    top = F.array(F.struct(F.lit(1).alias("first"), F.lit(0).alias("level"), F.lit("").alias("title")))
+    d = d.select("doc_id", F.size("ls").alias("n"), heads.alias("heads"))
+    d = d.select("doc_id", "n", F.when((F.size("heads") > 0) & (F.get("heads", F.lit(0))["first"] == 1), F.col("heads")).otherwise(F.concat(top, "heads")).alias("heads"))
+    last = lambda i: F.coalesce(F.get("heads", i + 1)["first"] - 1, F.col("n"))
+    whole = F.transform("heads", lambda s, i: F.struct((i + 1).alias("index"), s["level"].alias("level"), s["title"].alias("title"), s["first"].alias("first"), last(i).alias("last")))
+    return d.select("doc_id", F.inline(whole))
+
+
+def islands(lines_: Column, member, least: int) -> Column:
+    """array<struct(first, last)> of the runs of at least `least` lines for which member(line) holds, counted from 1."""
+    inside = F.transform(lines_, lambda x: member(x))
+    at = F.transform(inside, lambda x, i: F.struct(x.alias("x"), (i + 1).alias("i"), F.coalesce(F.get(inside, i - 1), F.lit(False)).alias("before"), F.coalesce(F.get(inside, i + 1), F.lit(False)).alias("after")))
+    firsts = F.transform(F.filter(at, lambda s: s["x"] & ~s["before"]), lambda s: s["i"])
+    lasts = F.transform(F.filter(at, lambda s: s["x"] & ~s["after"]), lambda s: s["i"])
+    return F.filter(F.zip_with(firsts, lasts, lambda a, b: F.struct(a.alias("first"), b.alias("last"))), lambda s: s["last"] - s["first"] + 1 >= least)
+
+
+#: A Markdown table's separator row.
+SEPARATOR = r"^[ \t]*\|?[ \t]*:?-{2,}:?[ \t]*(\|[ \t]*:?-{2,}:?[ \t]*)*\|?[ \t\r]*$"
+
+
+def tables(documents: DataFrame, marker: str = r"\|", least: int = 3, separated: bool = True, contains: str | None = None, most: int | None = None) -> DataFrame:
+    """(doc_id, first, last, body): runs of at least `least` consecutive lines that hold the marker.
+
+    With separated, a table must have a separator row; contains is text that must stand in it, case aside; most is how
+    many of a document are wanted. Everything happens inside the row.
+    """
+    d = documents.select("doc_id", F.split("text", "\n").alias("ls"))
+    found = F.transform(islands(F.col("ls"), lambda x: x.rlike(marker), least), lambda s: F.struct(s["first"].alias("first"), s["last"].alias("last"), F.slice("ls", s["first"], s["last"] - s["first"] + 1).alias("rows")))
+    if separated:
+        found = F.filter(found, lambda s: F.exists(s["rows"], lambda x: x.rlike(SEPARATOR) & F.contains(x, F.lit("|"))))
+    whole = F.transform(found, lambda s: F.struct(s["first"].alias("first"), s["last"].alias("last"), F.array_join(s["rows"], "\n").alias("body")))
+    if contains is not None:
+        whole = F.filter(whole, lambda s: F.contains(F.lower(s["body"]), F.lit(contains.lower())))
+    return d.select("doc_id", F.inline(whole if most is None else F.slice(whole, 1, most)))
+
+
+def clean_rows(body: Column) -> Column:
+    """array<array<string>>: a table's cells without invisible characters, empty and separator cells left out, rows of one cell too."""
+    cells = lambda row: F.filter(F.transform(F.split(T.normalise(row), r"\|"), lambda x: F.btrim(x, F.lit(" \t\r"))), lambda x: (x != "") & ~x.rlike("^:?-{2,}:?$"))
+    return F.filter(F.transform(F.split(body, "\n"), cells), lambda r: F.size(r) >= 2)
+
+
+def ranked_tables(documents: DataFrame, near: str, marker: str = r"\|", most: int = 3) -> DataFrame:
+    """(doc_id, first, score, k, rows): each document's best tables of two lines or more: by the numbers in them, a thousand more where `near` is inside."""
+    t = tables(documents, marker, 2, separated=False).withColumn("cells", clean_rows(F.col("body"))).where(F.size("cells") > 0)
+    flat = F.array_join(F.transform("cells", lambda r: F.array_join(r, " | ")), "\n")
+    t = t.withColumn("rows", flat)
+    s = F.regexp_count("rows", F.lit("[0-9]+")) + F.when(F.contains(F.lower("rows"), F.lit(near.lower())), 1000).otherwise(-500)
+    r = t.withColumn("score", s).where("score > 0").withColumn("k", F.row_number().over(Window.partitionBy("doc_id").orderBy(F.desc("score"), "first")))
+    return r.where(F.col("k") <= most).select("doc_id", "first", "score", "k", "rows")
+
+
+def numbers_near(documents: DataFrame, pattern: str, context: int = 2, most: int = 20, limit: int = 12) -> DataFrame:
+    """(doc_id, line, excerpt, figures): the hits of find_in_text with the figures in each excerpt."""
+    return find_in_text(documents, pattern, context, most).withColumn("figures", F.array_join(T.figures(F.col("excerpt"), limit), "|"))
 
 
 def windows_around(c: Column, phrase: str | Column, before: int = 40, after: int | Column = 220) -> Column:
@@ -111,7 +152,8 @@ def windows_around(c: Column, phrase: str | Column, before: int = 40, after: int
     n = F.length(p)
     parts = F.split(F.lower(c), F.concat(F.lit("\\Q"), p, F.lit("\\E")))
     sizes = F.slice(F.transform(parts, lambda x: F.length(x)), F.lit(1), F.greatest(F.size(parts) - 1, F.lit(0)))
-    at = F.transform(sizes, lambda x, i: F.aggregate(F.slice(sizes, F.lit(1), i + 1), F.lit(0), lambda a, y: a + y) + i * n)
+    # one pass: each place is the one before, the phrase and the part between
+    at = F.aggregate(sizes, F.array().cast("array<int>"), lambda a, x: F.array_append(a, F.coalesce(F.element_at(F.when(F.size(a) > 0, a), -1) + n, F.lit(0)) + x))
     return F.transform(at, lambda q: F.substring(c, F.greatest(q - before, F.lit(0)) + 1, (q + n + after - F.greatest(q - before, F.lit(0))).cast("int")))
 
 
@@ -203,15 +245,24 @@ def d16_outline(spark, sf_dir):
 
 
 def d17_tables(spark, sf_dir):
-    return tables(_docs(spark, sf_dir), r"^[ \t]*[-|]", 2)
+    """Runs of bulleted lines, the tables of these texts, read by the same rule."""
+    return tables(_docs(spark, sf_dir), r"^[ \t]*[-|]", 2, separated=False)
+
+
+def d17_markdown_tables(spark, sf_dir):
+    """A table of each document's keys put before its text and read again: a separator row, three lines, a word inside."""
+    made = F.concat(F.lit("| key | value |\n| --- | :--: |\n| company | "), F.coalesce("company_slug", F.lit("none")), F.lit(" |\n\n| no | separator |\n| a | b |\n| c | d |\n\n"), F.col("text"))
+    return tables(_docs(spark, sf_dir).select("doc_id", made.alias("text")), contains="Company", most=6)
 
 
 def d18_ranked_tables(spark, sf_dir):
-    """Each document's best three tables: by the numbers in them, a thousand more where a phrase is near."""
-    t = tables(_docs(spark, sf_dir), r"^[ \t]*[-|]", 2)
-    s = F.regexp_count("body", F.lit("[0-9]+")) + F.when(F.contains(F.lower("body"), F.lit("margin")), 1000).otherwise(-500)
-    r = t.withColumn("score", s).where("score > 0").withColumn("k", F.row_number().over(Window.partitionBy("doc_id").orderBy(F.desc("score"), "first")))
-    return r.where("k <= 3").select("doc_id", "first", "score", "k")
+    """Each document's best three tables: a made one before its text, and the text's own."""
+    made = F.concat(F.lit("| Margin | 41.5 | |\n|---|---|---|\n| Sales |"), F.col("doc_id"), F.lit("| 7 |\n\n"), F.col("text"))
+    return ranked_tables(_docs(spark, sf_dir).select("doc_id", made.alias("text")), "margin")
+
+
+def d19_numbers_near(spark, sf_dir):
+    return numbers_near(_docs(spark, sf_dir), "margin", 1, 5)
 
 
 def d20_focused_read(spark, sf_dir, phrase: str = "margin", window: int = 500):
@@ -268,7 +319,7 @@ def e6_windows(spark, sf_dir):
 
 QUERIES = {f.__name__: f for f in (
     a2_front_matter, a3_title, a4_dates, a5_noise, c10_informative, c14_period_fit, c15_plausible, c16_guidance_marker, c17_guidance_sentences, d1_chunks, d2_tokens,
-    d12_excerpt, d13_numbers, d14_in_document, d15_first_hit, d16_outline, d17_tables, d18_ranked_tables, d20_focused_read, d21_truncate, d22_repair, d23_industry, d25_redact,
+    d12_excerpt, d13_numbers, d14_in_document, d15_first_hit, d16_outline, d17_tables, d17_markdown_tables, d18_ranked_tables, d19_numbers_near, d20_focused_read, d21_truncate, d22_repair, d23_industry, d25_redact,
     e1_parse_numbers, e2_millions, e3_points, e6_windows)}
 
 _T = "text is not null"
@@ -297,7 +348,9 @@ def _count_sql(c: str, words: tuple[str, ...]) -> str:
 
 _Y, _Q = _count_sql("lower(context)", N.ANNUAL), _count_sql("lower(context)", N.QUARTERLY)
 _TOKS = "list_filter(regexp_extract_all(lower(text), '[a-z0-9][a-z0-9.''\\-]*'), lambda t: len(t) > 1 and not list_contains([" + ", ".join(f"'{w}'" for w in T.STOP_WORDS) + "], t))"
-_FIG = "list_filter(list_transform(regexp_extract_all(text, '(?i)(?:[$£€] *)?\\(?-?[0-9](?:[0-9,]*[0-9])?(?:\\.[0-9]+)?\\)?(?: *(?:%|percent|million|billion|bn|pence))?'), lambda x: trim(x)), lambda x: length(x) >= 2)"
+#: RE2 has no look-behind: what stands before a figure is matched along and left out of the group. Its word edges know ASCII only, hence
+#: other letters are replaced by one.
+_FIG = "list_filter(list_transform(regexp_extract_all(regexp_replace(text, '[^\\x00-\\x7F\\P{L}]', 'z', 'g'), '(?i)(?:^|[^\\p{L}\\p{N}_])((?:[$£€]\\s*)?\\(?-?[0-9](?:[0-9,]*[0-9])?(?:\\.[0-9]+)?\\)?(?:\\s*(?:%|percent|million|billion|bn|m\\b|pence|p\\b|per\\s+share))?)', 1), lambda x: trim(x, ' ' || chr(9) || chr(10) || chr(13))), lambda x: length(x) >= 2)"
 _ISL = _LN + ", r as (select doc_id, line, text, line - row_number() over (partition by doc_id order by line) as i from l where regexp_matches(text, '^[ \\t]*[-|]')), t as (select doc_id, min(line) as first, max(line) as last, string_agg(text, chr(10) order by line) as body from r group by doc_id, i having count(*) >= 2)"
 ORACLES = {
     "a2_front_matter": f"select doc_id, nullif(coalesce(company_slug, ''), '') as company, nullif(coalesce(ticker, ''), '') as ticker, null::varchar as source_url, null::varchar as absent, cast(length(text) as integer) as body_chars from documents where {_T}",
@@ -314,11 +367,17 @@ ORACLES = {
     "d14_in_document": f"with {_LN}, w as (select doc_id, line, text, string_agg(text, chr(10)) over (partition by doc_id order by line rows between 1 preceding and 1 following) as excerpt from l), h as (select *, row_number() over (partition by doc_id order by line) as k from w where regexp_matches(text, '(?i)turnover|margin')) select doc_id, line, excerpt from h where k <= 5",
     "d15_first_hit": f"with {_LN}, h as (select doc_id, line, text, row_number() over (partition by doc_id order by line) as k from l where contains(lower(text), 'turnover')) select h.doc_id, published_at, line, h.text from h join documents using (doc_id) where k = 1 and published_at <= date '2025-06-30' order by published_at desc, h.doc_id limit 8",
     "d17_tables": f"with {_ISL} select * from t",
-    "d18_ranked_tables": f"with {_ISL}, s as (select doc_id, first, cast(len(regexp_extract_all(body, '[0-9]+')) + case when contains(lower(body), 'margin') then 1000 else -500 end as integer) as score from t), q as (select *, cast(row_number() over (partition by doc_id order by score desc, first) as integer) as k from s where score > 0) select * from q where k <= 3",
+    "d17_markdown_tables": f"select doc_id, 1 as first, 3 as last, concat('| key | value |', chr(10), '| --- | :--: |', chr(10), '| company | ', coalesce(company_slug, 'none'), ' |') as body from documents where {_T}",
+    "d18_ranked_tables": f"with m as (select doc_id, concat('| Margin | 41.5 | |', chr(10), '|---|---|---|', chr(10), '| Sales |', doc_id, '| 7 |', chr(10), chr(10), text) as text from documents where {_T}), l as (select doc_id, unnest(string_split(text, chr(10))) as text, cast(generate_subscripts(string_split(text, chr(10)), 1) as integer) as line from m), "
+    "r as (select *, line - row_number() over (partition by doc_id order by line) as i from l where contains(text, '|')), c as (select doc_id, i, line, list_filter(list_transform(string_split(text, '|'), lambda x: trim(x, ' ' || chr(9) || chr(13))), lambda x: x <> '' and not regexp_matches(x, '^:?-{2,}:?$')) as c from r), "
+    "n as (select doc_id, i, min(line) as first from c group by 1, 2 having count(*) >= 2), b as (select doc_id, i, string_agg(array_to_string(c, ' | '), chr(10) order by line) as rows from c where len(c) >= 2 group by 1, 2), "
+    "s as (select doc_id, first, rows, cast(len(regexp_extract_all(rows, '[0-9]+')) + case when contains(lower(rows), 'margin') then 1000 else -500 end as integer) as score from n join b using (doc_id, i)), q as (select *, cast(row_number() over (partition by doc_id order by score desc, first) as integer) as k from s where score > 0) select doc_id, first, score, k, rows from q where k <= 3",
+    "d19_numbers_near": f"with {_LN}, w as (select doc_id, line, text, string_agg(text, chr(10)) over (partition by doc_id order by line rows between 1 preceding and 1 following) as excerpt from l), h as (select *, row_number() over (partition by doc_id order by line) as k from w where regexp_matches(text, '(?i)margin')), "
+    f"g as (select doc_id, line, excerpt, {_FIG.replace('text', 'excerpt')} as fs from h where k <= 5), x as (select doc_id, line, unnest(fs) as f, generate_subscripts(fs, 1) as p from g), y as (select doc_id, line, f, min(p) as p from x group by all), z as (select *, row_number() over (partition by doc_id, line order by p) as k from y), a as (select doc_id, line, string_agg(f, '|' order by p) as figures from z where k <= 12 group by 1, 2) select g.doc_id, g.line, excerpt, coalesce(figures, '') as figures from g left join a using (doc_id, line)",
     "d20_focused_read": f"with x as (select doc_id, text, instr(lower(text), 'margin') as a from documents where {_T}) select doc_id, a > 0 as matched, length(text) > 500 as truncated, md5(case when a > 0 then substring(text, case when a > 250 then a - 250 else 1 end, 500) else left(text, 500) end) as digest from x",
     "d21_truncate": f"select doc_id, md5(case when length(text) > 1000 then left(text, 1000) || chr(10) || '[truncated]' else text end) as head, md5(case when length(text) > 1000 then left(text, 900) || chr(10) || '[...]' || chr(10) || right(text, 100) else text end) as ends from documents where {_T}",
     "d23_industry": f"with x as (select doc_id, lower(text) as t from documents where {_T}), y as (select doc_id, [{{'n': {_count_sql('t', ('store', 'basket', 'checkout', 'aisle'))}, 'o': 0, 'p': 'retail'}}, {{'n': {_count_sql('t', ('wafer', 'foundry', 'die-yield', 'lithography'))}, 'o': -1, 'p': 'semiconductors'}}, {{'n': {_count_sql('t', ('tractor', 'combine', 'dealer', 'harvest'))}, 'o': -2, 'p': 'industrial'}}, {{'n': {_count_sql('t', ('candidate', 'temporary', 'fee-earner', 'permanent'))}, 'o': -3, 'p': 'staffing'}}] as h from x), z as (select doc_id, list_max(h) as b from y) select doc_id, case when b.n > 0 then b.p else 'generic' end as industry, round(b.n / 4, 2) as confidence from z",
-    "d25_redact": f"select doc_id, concat('key [REDACTED] [REDACTED] [REDACTED] ok ', left(text, 100)) as text from documents where {_T}",
+    "d25_redact": f"select doc_id, concat('key [REDACTED] [REDACTED] [REDACTED] ok ', text) as text from documents where {_T}",
     "e1_parse_numbers": _parsed_sql("value, currency, scale, is_percent, negative"),
     "e2_millions": _parsed_sql("round(case when not is_percent then value * case scale when 'billion' then 1000.0 when 'bn' then 1000.0 when 'thousand' then 0.001 when 'k' then 0.001 else 1.0 end end, 6) as millions"),
     "e3_points": _parsed_sql("round(case when is_percent then case when scale = 'bps' then value / 100 else value end end, 6) as points"),

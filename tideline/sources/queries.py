@@ -13,18 +13,18 @@ def _docs(spark, sf_dir):
 
 
 def a6_catalog(spark, sf_dir):
-    """A catalog text per company, made of its documents and parsed again."""
+    """Catalog texts of at most 500 of a company's documents each, parsed again."""
     row = F.concat(F.lit("| "), F.coalesce(F.col("published_at").cast("string"), F.lit("n/a")), F.lit(" | "), F.coalesce("document_type", F.lit("-")), F.lit(" | "), F.coalesce("period", F.lit("")), F.lit(" | "), F.col("title"), F.lit(" | [Open]("), F.col("rel_path"), F.lit(") |"))
-    t = _docs(spark, sf_dir).where("company_slug is not null").groupBy("company_slug").agg(F.concat_ws("\n", F.collect_list(row)).alias("text"))
+    t = _docs(spark, sf_dir).where("company_slug is not null").groupBy("company_slug", F.floor(F.col("doc_id") / 500)).agg(F.concat_ws("\n", F.collect_list(row)).alias("text"))
     return R.catalog(t).select("published_at", "title", "doc_id")
 
 
 def a10_report_rows(spark, sf_dir):
-    """A report page per metric, made of its anchors and scraped again."""
+    """Report pages of at most 500 of a metric's anchors each, scraped again."""
     a = table(spark, sf_dir, "guidance_anchors").select("anchor_id", "ticker", "metric", "value", "units").distinct()
     v = F.format_number("value", 2)
     row = F.concat(F.lit("<tr><td><strong>"), F.col("ticker"), F.lit("</strong></td><td>P&amp;L "), F.col("metric"), F.lit('</td><td class="num"><strong>'), v, F.lit('</strong></td><td class="num">'), v, F.lit('</td><td class="num">'), v, F.lit("</td><td>"), F.col("units"), F.lit("</td><td><code>m"), F.col("anchor_id"), F.lit("</code></td></tr>"))
-    pages = a.groupBy("metric").agg(F.concat_ws("\n", F.collect_list(row)).alias("html"))
+    pages = a.groupBy("metric", F.floor(F.col("anchor_id") / 500)).agg(F.concat_ws("\n", F.collect_list(row)).alias("html"))
     return R.report_rows(pages).select("slug", "metric", F.round("value", 2).alias("value"), "units", "method")
 
 

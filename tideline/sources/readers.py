@@ -38,7 +38,7 @@ def corpus(spark: SparkSession, root: str) -> DataFrame:
 
 
 def filename_parts(name: Column) -> dict[str, Column]:
-    """Parts of names such as 2026-05-20__adi-us-20260520-q2-8k__1040581.md; empty where a name is of another form."""
+    """Parts of names such as 2031-02-03__abc-us-20310203-q4-8k__1000001.md; empty where a name is of another form."""
     p = r"^([0-9]{4}-[0-9]{2}-[0-9]{2})__([a-z]+)(?:-([a-z]+))?-([0-9]{8})-(.*)__([0-9]+)\.md$"
     return {k: F.nullif(F.regexp_extract(F.lower(name), p, i + 1), F.lit("")) for i, k in enumerate(("published", "ticker", "market", "filed", "kind", "number"))}
 
@@ -79,7 +79,11 @@ def resolve_folder(names: DataFrame, folders: DataFrame) -> DataFrame:
     """(name, folder): the folder whose slug is the longest leading part of the name's, or else the first that begins with it."""
     n = names.select("name", T.slugify(F.col("name")).alias("slug"))
     f = folders.select("folder", T.slugify(F.col("folder")).alias("fs"))
-    j = n.join(f, F.col("slug").startswith(F.col("fs")) | F.col("fs").startswith(F.split_part("slug", F.lit("-"), F.lit(1))))
+    # a folder that leads the name, or is led by its first word, begins with that word's first letters as far as it goes
+    first = lambda c: F.split_part(c, F.lit("-"), F.lit(1))
+    leads = n.select("name", "slug", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length("slug"), F.lit(1))), lambda i: F.left("slug", i)))).alias("key")).join(f.select("folder", "fs", F.col("fs").alias("key")), "key")
+    led = n.withColumn("key", first(F.col("slug"))).join(f.select("folder", "fs", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length("fs"), F.lit(1))), lambda i: F.left("fs", i)))).alias("key")), "key")
+    j = leads.select("name", "slug", "folder", "fs").unionByName(led.select("name", "slug", "folder", "fs")).distinct()
     lead = (F.col("slug") == F.col("fs")) | F.col("slug").startswith(F.concat("fs", F.lit("-")))
     return j.groupBy("name").agg(F.max_by("folder", F.struct(lead.cast("int"), F.when(lead, F.length("fs")).otherwise(0), F.col("folder"))).alias("folder"))
 

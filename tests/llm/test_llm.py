@@ -102,21 +102,38 @@ def test_pieces_rebuild_the_text(spark):
     assert all(texts[2][p["end"] - 1] == " " for p in ends)
 
 
-def test_ranges_find_the_same_boundaries(spark):
+def test_pieces_do_not_depend_on_ranges(spark):
     r = random.Random(1)
-    text = "".join(r.choice(["Word. ", "é", "\n\n", "日本 ", "x\r\n", " "]) for _ in range(20_000))
-    d = spark.createDataFrame([(1, text)], "doc_id long, text string")
-    small, large = (splitting.offsets(splitting.ranges_of_texts(d, "doc_id", n)).orderBy("piece_no").collect() for n in (1_000, 10_000_000))
-    at = lambda t: [(p["start"], p["end"]) for p in t]
-    assert len(at(small)) == len(at(large)) and all(abs(a[1] - b[1]) <= splitting.CELL for a, b in zip(at(small), at(large), strict=True))
+    texts = [
+        "".join(r.choice(["Word. ", "é", "\n\n", "日本 ", "x\r\n", " ", "\u00a0", "a\u00a0\u00a0b"]) for _ in range(9_000)),
+        "First paragraph. " * 300 + " " * 3_000 + "\n" + "\u00a0" * 700 + "\n" + " " * 900 + "And so on, " * 1_500,
+        " \n" * 5_000 + "x" * 9_000 + "\n\n", "é" * 13_000, "\u00a0" * 7_000, "ab " * 5_000,
+    ]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = [sorted(map(tuple, splitting.offsets(splitting.ranges_of_texts(d, "doc_id", n)).collect())) for n in (7, 1_000, 4_096, 65_536, 10_000_000)]
+    assert {x[0] for x in found[0]} == set(range(len(texts))) and all(f == found[0] for f in found)
+
+
+def test_a_window_far_into_a_file():
+    """Places beyond 32 bits; only a window of the boundaries is held."""
+    c = splitting.Cutter()
+    c.chars = c.start = c.bytes = c.start_byte = 3 << 31
+    line = b"Some words of a line.\n" * 40
+    for _ in range(30):
+        about, at, byte, kind = splitting.boundaries(line, 0, len(line), c.chars)
+        for p in c.feed(about | {"lead_chars": 0}, len(line), at, byte, kind):
+            assert p[2] - p[1] <= splitting.LIMIT and p[1] == p[3] >= 3 << 31 and (p[2] - (3 << 31)) % 22 == 0
+    assert c.pieces == 4 and len(c.at) < 2_000 and c.finish()[-1][2] == (3 << 31) + 30 * len(line)
 
 
 def test_files_are_split_like_texts(spark, tmp_path):
     r = random.Random(2)
-    text = "".join(r.choice(["Some words. ", "é ", "\n\n", "line\n"]) for _ in range(40_000))
+    text = "".join(r.choice(["Some words. ", "é ", "\n\n", "line\n", "\u00a0"]) for _ in range(40_000))
     (tmp_path / "a.txt").write_text(text, encoding="utf-8", newline="")
-    got = splitting.split_files(spark, [str(tmp_path / "a.txt")]).orderBy("piece_no").collect()
-    assert all(p["text"] == text[p["start"] : p["end"]] for p in got) and got[-1]["end"] == len(text)
+    d = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    own = [tuple(x)[1:] for x in splitting.split_texts(d).orderBy("piece_no").collect()]
+    for n in (5_000, splitting.FILE_RANGE_BYTES):
+        assert [tuple(x)[1:] for x in splitting.split_files(spark, [str(tmp_path / "a.txt")], n).orderBy("piece_no").collect()] == own
 
 
 # near-duplicates

@@ -74,12 +74,41 @@ def test_lines_against_counting(spark, seed):
 def test_blocks_of_several_lines(spark):
     docs = [(i, "a", "first\n\nsecond\nthird\n" + f"own {i}\nsecond") for i in range(8)]
     d = spark.createDataFrame(docs, "doc_id long, company string, text string")
-    t = lines.line_table(d)
-    f = lines.frequent_lines(t)
-    got = sorted((len(b["block"]), b["docs"]) for b in lines.blocks(lines.runs(t, f), f).collect())
+    got = sorted((len(b["block"]), b["docs"]) for b in lines.blocks(d).collect())
     assert got == [(1, 8), (1, 8), (1, 8), (2, 8), (2, 8), (3, 8)]
 
 
+def test_blocks_count_documents_and_decide(spark):
+    """Three documents hold a block twice each, six occurrences; the intervals' documents keep it from being deleted."""
+    docs = [(i, "a", f"one\ntwo\nown {i}\none\ntwo\nx {i}\nall" if i < 3 else f"all\nmine {i}") for i in range(10)]
+    d = spark.createDataFrame(docs, "doc_id long, company string, text string")
+    kept = lines.often(lines.line_table(d))
+    assert kept.count() == 3  # the bound alone lets the lines of the block pass
+    assert [(len(b["block"]), b["docs"]) for b in lines.blocks(d).collect()] == [(1, 10)]
+    assert {tuple(x) for x in lines.repeated_lines(d).collect()} == {(i, 7 if i < 3 else 1) for i in range(10)}
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_weights_count_documents(spark, seed):
+    r = random.Random(seed)
+    docs = [(i, "a", "\n".join(r.choice("abc") for _ in range(r.randrange(0, 9)))) for i in range(30)]
+    d = spark.createDataFrame(docs, "doc_id long, company string, text string")
+    t = lines.line_table(d)
+    name = {x["h"]: x["x"] for x in spark.createDataFrame([(c,) for c in "abc"], "x string").select("x", F.xxhash64("x").alias("h")).collect()}
+    got = {"".join(name[h] for h in b["block"]): b["docs"] for b in lines.blocks(d, min_docs=2, min_share=0.0).collect()}
+    texts = [x.replace("\n", "") for _, _, x in docs]
+    count = {x[i:j]: 0 for x in texts for i in range(len(x)) for j in range(i + 1, len(x) + 1)}
+    for k in count:
+        count[k] = sum(k in x for x in texts)
+    assert t.count() == 30 and got == {k: n for k, n in count.items() if n >= 2}
+
+
+def test_lines_of_blocks_longer_than_a_suffix(spark):
+    docs = [(i, "a", "\n".join(f"line {k}" for k in range(80))) for i in range(6)]
+    d = spark.createDataFrame(docs, "doc_id long, company string, text string")
+    assert lines.repeated_lines(d).count() == 480
+
+
 # splitting
 
 

@@ -1,10 +1,11 @@
 """Problem 1: lines repeated across one source's documents.
 
-A block of lines that spans many documents of a source consists of lines that each do, so lines are first counted per
-source and only the repeated ones kept. The repeated lines that follow each other in a document form runs. The
-suffixes of the distinct runs, keyed by their first line, are the buckets of each source's suffix array: a bucket is
-sorted, neighbours' common prefixes are the repeated blocks, and blocks spanning enough documents are deleted wherever
-they occur. Runs are counted before they are shuffled, so a bucket holds distinct runs, not documents.
+Each source's documents are read as sequences of line identifiers. Identifiers that occur too seldom to be in many
+documents are left out; every other line begins a suffix, the line and those behind it. Equal suffixes of a source are
+added up with weights that count each document once, so a suffix array holds distinct suffixes, not documents. It is
+built in buckets by source and first line: a bucket is sorted, the common prefixes of neighbours are the repeated
+blocks, and the sum of an interval's weights is the number of documents that its block spans. Lines covered by a block
+that spans enough documents are deleted wherever they occur.
 
 Defined results: documents with null company have no cases; null and empty texts have no lines but count as documents
 of their company; blank lines are never cases and do not interrupt a run; rows of one doc_id count once.
@@ -12,7 +13,9 @@ of their company; blank lines are never cases and do not interrupt a run; rows o
 
 from __future__ import annotations
 
-import pandas as pd
+from itertools import accumulate
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,6 +23,8 @@ from ..operators.common import durable, once_per_key, sized_join, table
 
 MIN_DOCS = 5
 MIN_SHARE = 0.2
+#: Lines of a suffix at most. A longer block is covered by those of this length inside of it.
+DEPTH = 32
 #: White space inside a line.
 _BLANK = r"[ \t\x0B\f\r\x1c-\x1f\u0085\p{Z}]+"
 
@@ -37,68 +42,103 @@ def line_table(documents: DataFrame, source: str = "company") -> DataFrame:
     return docs.select("doc_id", F.xxhash64("src").alias("src"), hashed.alias("lines"))
 
 
-def frequent_lines(lines: DataFrame, min_docs: int = MIN_DOCS, min_share: float = MIN_SHARE) -> DataFrame:
-    """(src, h, n_docs, least): lines in at least min_docs documents and min_share of the source's documents."""
-    sizes = lines.groupBy("src").agg(F.count("*").alias("n_all"))
-    counted = lines.select("src", F.explode(F.array_distinct(F.transform("lines", lambda s: s["h"]))).alias("h")).groupBy("src", "h").agg(F.count("*").alias("n_docs"))
-    least = F.greatest(F.lit(min_docs), F.ceil(F.col("n_all") * F.lit(min_share) - F.lit(1e-9))).cast("long").alias("least")
-    return counted.where(F.col("n_docs") >= min_docs).join(sizes, "src").select("src", "h", "n_docs", least).where("n_docs >= least")
+def often(lines: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
+    """(src, h): lines that occur min_docs times or more in a source; a line of a block that spans as many documents always does."""
+    return lines.select("src", F.explode(F.transform("lines", lambda s: s["h"])).alias("h")).groupBy("src", "h").agg(F.count("*").alias("n")).where(F.col("n") >= min_docs).select("src", "h")
+
 
+def suffixes(lines: DataFrame, kept: DataFrame, depth: int = DEPTH) -> DataFrame:
+    """(doc_id, src, sufs): of each document struct(line_no, suf) for its kept lines, suf being the line and those kept that follow it.
 
-def runs(lines: DataFrame, frequent: DataFrame) -> DataFrame:
-    """(doc_id, src, nos, hs): maximal runs of frequent lines of a document, blank lines aside."""
+    Blank lines aside, a suffix ends before the next line that is not kept, and after depth lines.
+    """
     one = lines.select("doc_id", "src", F.posexplode("lines").alias("ord", "s")).select("doc_id", "src", "ord", "s.line_no", "s.h")
-    kept = sized_join(one, frequent.select("src", "h"), ["src", "h"])
-    # a document's frequent lines, then the run each belongs to: ord minus rank is constant inside a run
-    doc = kept.groupBy("doc_id", "src").agg(F.array_sort(F.collect_list(F.struct("ord", "line_no", "h"))).alias("a"))
-    marked = doc.select("doc_id", "src", F.explode(F.transform("a", lambda s, i: F.struct((s["ord"] - i).alias("run"), s["ord"].alias("ord"), s["line_no"].alias("line_no"), s["h"].alias("h")))).alias("s"))
-    grouped = marked.groupBy("doc_id", "src", "s.run").agg(F.array_sort(F.collect_list(F.struct("s.ord", "s.line_no", "s.h"))).alias("a"))
-    return grouped.select("doc_id", "src", F.transform("a", lambda s: s["line_no"]).alias("nos"), F.transform("a", lambda s: s["h"]).alias("hs"))
-
-
-def _suffix_blocks(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Blocks at the start of one bucket's suffixes: prefixes shared by suffixes of enough documents."""
-    out = []
-    suffixes = sorted((tuple(s), int(n)) for s, n in zip(pdf["suffix"], pdf["docs"], strict=True))
-    least, exact, src = int(pdf["least"].iloc[0]), int(pdf["n_docs"].iloc[0]), int(pdf["src"].iloc[0])
-    stack = [(1, 0, len(suffixes), exact)]
-    while stack:
-        depth, lo, hi, docs = stack.pop()
-        out.append((src, list(suffixes[lo][0][:depth]), docs))
-        # split the interval by the next line; neighbours with a common prefix stand together
-        i = lo
-        while i < hi:
-            s = suffixes[i][0]
-            j, n = i, 0
-            while j < hi and suffixes[j][0][: depth + 1] == s[: depth + 1]:
-                n += suffixes[j][1]
-                j += 1
-            if len(s) > depth and n >= least:
-                stack.append((depth + 1, i, j, n))
-            i = j
-    return pd.DataFrame(out, columns=["src", "block", "docs"])
-
-
-def blocks(run_table: DataFrame, frequent: DataFrame) -> DataFrame:
-    """(src, block, docs): blocks of lines that span at least the source's least number of documents.
-
-    docs is exact for blocks of one line; for longer ones it counts the runs that hold the block.
+    doc = sized_join(one, kept, ["src", "h"]).groupBy("doc_id", "src").agg(F.array_sort(F.collect_list(F.struct("ord", "line_no", "h"))).alias("a"))
+    following = lambda s, i: F.filter(F.slice("a", i + 1, F.lit(depth)), lambda t, k: t["ord"] == s["ord"] + k)
+    return doc.select("doc_id", "src", F.transform("a", lambda s, i: F.struct(s["line_no"].alias("line_no"), F.transform(following(s, i), lambda t: t["h"]).alias("suf"))).alias("sufs"))
+
+
+def weights(sufs: DataFrame) -> DataFrame:
+    """(src, suf, w): distinct suffixes, weighted so that the weights of all that begin with a block add up to its documents.
+
+    A suffix weighs one in each document. Where a document holds several, sorted neighbours have a common prefix, which
+    weighs one less, so that a document counts once for every block it holds, however often it does.
     """
-    distinct = run_table.groupBy("src", "hs").agg(F.count("*").alias("docs"))
-    suffixes = distinct.select("src", "docs", F.explode(F.transform(F.sequence(F.lit(1), F.size("hs")), lambda i: F.slice(F.col("hs"), i, F.size("hs")))).alias("suffix"))
-    suffixes = suffixes.groupBy("src", "suffix").agg(F.sum("docs").alias("docs")).withColumn("h", F.element_at("suffix", 1))
-    with_least = suffixes.join(frequent, ["src", "h"])
-    return with_least.groupBy("src", "h").applyInPandas(_suffix_blocks, "src long, block array<long>, docs long")
+    in_order = F.array_sort(F.transform("sufs", lambda s: s["suf"]))
+    d = sufs.select("src", in_order.alias("o"))
+    short = lambda x, y: F.least(F.size(x), F.size(y))
+    differ = lambda x, y: F.array_position(F.zip_with(F.slice(x, F.lit(1), short(x, y)), F.slice(y, F.lit(1), short(x, y)), lambda p, q: p == q), False)
+    common = lambda x, y: F.slice(x, F.lit(1), F.when(differ(x, y) == 0, short(x, y)).otherwise(differ(x, y) - 1).cast("int"))
+    later = F.slice("o", 2, F.greatest(F.size("o") - 1, F.lit(0)))
+    less = F.filter(F.transform(later, lambda y, i: common(F.get("o", i), y)), lambda c: F.size(c) > 0)
+    weighed = lambda c, w: F.transform(c, lambda x: F.struct(x.alias("suf"), F.lit(w).alias("w")))
+    return d.select("src", F.inline(F.concat(weighed(F.col("o"), 1), weighed(less, -1)))).groupBy("src", "suf").agg(F.sum("w").alias("w"))
+
+
+def _intervals(t: pa.Table) -> pa.Table:
+    """A bucket of the suffix array: its blocks with their documents, and of each suffix how long its longest spanning block is."""
+    least, src = t.column("least")[0].as_py(), t.column("src")[0].as_py()
+    found = sorted(zip(map(tuple, t.column("suf").to_pylist()), t.column("w").to_pylist(), t.column("sid").to_pylist(), strict=True))
+    order = [f[0] for f in found]
+    # lengths of the common prefixes of neighbours
+    lcp = [0]
+    for x, y in zip(order, order[1:], strict=False):
+        n = next((i for i, (p, q) in enumerate(zip(x, y, strict=False)) if p != q), min(len(x), len(y)))
+        lcp.append(n)
+    docs = list(accumulate((f[1] for f in found), initial=0))
+    longest = [0] * len(found)
+    rows: list[tuple] = []
+    stack = [(0, len(found), 1)]
+    while stack:
+        # all of lo..hi have their first `depth` lines in common
+        lo, hi, depth = stack.pop()
+        n = docs[hi] - docs[lo]
+        if n < least or len(order[hi - 1]) < depth:
+            continue
+        rows.append((src, None, depth, list(order[lo][:depth]), n))
+        for i in range(lo, hi):
+            longest[i] = depth
+        # parts where neighbours agree on a line more; a suffix of exactly depth lines stands first and alone
+        start = lo
+        for i in range(lo + 1, hi + 1):
+            if i == hi or lcp[i] <= depth:
+                if len(order[start]) > depth:
+                    stack.append((start, i, depth + 1))
+                start = i
+    rows += [(src, sid, n, None, None) for (_, _, sid), n in zip(found, longest, strict=True) if n]
+    cols = list(zip(*rows, strict=True)) or [()] * 5
+    return pa.table([pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.int64()), strict=True)], names=["src", "sid", "n", "block", "docs"])
+
+
+def intervals(lines: DataFrame, weighed: DataFrame, min_docs: int = MIN_DOCS, min_share: float = MIN_SHARE) -> DataFrame:
+    """(src, sid, n, block, docs): blocks of n lines that span enough documents, with sid null; and for each suffix with one, by its hash sid, the longest."""
+    least = F.greatest(F.lit(min_docs), F.ceil(F.count("*") * F.lit(min_share) - F.lit(1e-9))).cast("long").alias("least")
+    sizes = durable(lines.groupBy("src").agg(least), "sizes")
+    with_least = sized_join(weighed.select("src", "suf", "w", F.xxhash64("suf").alias("sid"), F.get("suf", F.lit(0)).alias("h")), sizes, ["src"])
+    return with_least.groupBy("src", "h").applyInArrow(_intervals, "src long, sid long, n int, block array<long>, docs long")
+
+
+def _stages(documents: DataFrame, source: str, min_docs: int, min_share: float) -> tuple[DataFrame, DataFrame]:
+    lines = durable(line_table(documents, source), "lines")
+    sufs = durable(suffixes(lines, durable(often(lines, min_docs), "often")), "suffixes")
+    return sufs, durable(intervals(lines, weights(sufs), min_docs, min_share), "intervals")
 
 
 def repeated_lines(documents: DataFrame, source: str = "company", min_docs: int = MIN_DOCS, min_share: float = MIN_SHARE) -> DataFrame:
-    """(doc_id, line_no) of every line covered by a block that spans enough documents of its source."""
-    lines = durable(line_table(documents, source), "lines")
-    frequent = durable(frequent_lines(lines, min_docs, min_share), "frequent")
-    found = durable(runs(lines, frequent), "runs")
-    deleted = durable(blocks(found, frequent).select("src", F.explode("block").alias("h")).distinct(), "blocks")
-    each = found.select("doc_id", "src", F.explode(F.arrays_zip("nos", "hs")).alias("z")).select("doc_id", "src", F.col("z.nos").alias("line_no"), F.col("z.hs").alias("h"))
-    return sized_join(each, deleted, ["src", "h"]).select("doc_id", "line_no").distinct()
+    """(doc_id, line_no) of every line covered by a block that spans enough documents of its source.
+
+    Whatever is left of a spanning block behind one of its lines is a spanning block, too, so a line is covered if and
+    only if the suffix that it begins has one.
+    """
+    sufs, found = _stages(documents, source, min_docs, min_share)
+    spanning = durable(found.where("sid is not null").select("src", "sid"), "spanning")
+    each = sufs.select("doc_id", "src", F.inline("sufs")).select("doc_id", "src", "line_no", F.xxhash64("suf").alias("sid"))
+    return sized_join(each, spanning, ["src", "sid"]).select("doc_id", "line_no")
+
+
+def blocks(documents: DataFrame, source: str = "company", min_docs: int = MIN_DOCS, min_share: float = MIN_SHARE) -> DataFrame:
+    """(src, block, docs): blocks of lines that span at least the source's least number of documents, and exactly how many."""
+    return _stages(documents, source, min_docs, min_share)[1].where("sid is null").select("src", "block", "docs")
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -106,10 +146,9 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p1_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The repeated blocks: length, and how many runs of lines hold each."""
-    lines = durable(line_table(table(spark, sf_dir, "documents")), "lines")
-    frequent = durable(frequent_lines(lines), "frequent")
-    return blocks(durable(runs(lines, frequent), "runs"), frequent).select("src", F.array_join(F.transform("block", lambda h: F.hex(h)), " ").alias("block"), F.size("block").alias("n_lines"), "docs")
+    """How many blocks of each length span enough documents of a company, and the most documents of one."""
+    b = blocks(table(spark, sf_dir, "documents"))
+    return b.groupBy(F.size("block").alias("n_lines")).agg(F.count("*").alias("blocks"), F.sum("docs").alias("docs"), F.max("docs").alias("most"))
 
 
 def p1_cleaned(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -129,7 +168,17 @@ l as (select doc_id, src, unnest(string_split(text, chr(10))) as raw, generate_s
 m as (select doc_id, src, raw, line_no, trim(regexp_replace(lower(raw), '[\s\x{a0}]+', ' ', 'g')) as x from l),
 f as (select src, x from m join n using (src) where x <> '' group by src, x, n_all having count(distinct doc_id) >= 5 and count(distinct doc_id) >= 0.2 * n_all)
 """
+#: Blocks by brute force: every stretch of up to DEPTH non-blank lines, those of each length only where the stretch without its last line spans enough.
+_BLOCKS = (
+    _LINES
+    + f""", o as (select src, doc_id, x, row_number() over (partition by doc_id order by line_no) as i from m where x <> ''),
+w(src, doc_id, i, n, block) as (select src, doc_id, i, 1, md5(x) from o join f using (src, x)
+  union all select w.src, w.doc_id, w.i, w.n + 1, md5(w.block || o.x) from w join o on o.doc_id = w.doc_id and o.i = w.i + w.n join f on f.src = o.src and f.x = o.x where w.n < {DEPTH}),
+b as (select src, n, block, count(distinct doc_id) as docs from w group by 1, 2, 3),
+g as (select b.* from b join n as sizes using (src) where docs >= 5 and docs >= 0.2 * sizes.n_all)"""
+)
 ORACLES = {
+    "p1_blocks": _BLOCKS.replace("with d as", "with recursive d as") + " select cast(n as integer) as n_lines, count(*) as blocks, cast(sum(docs) as bigint) as docs, max(docs) as most from g group by 1",
     "p1_found": _LINES + "select doc_id, cast(line_no as integer) as line_no from m join f using (src, x)",
     "p1_cleaned": _LINES + ", k as (select m.doc_id, string_agg(raw, chr(10) order by line_no) as text from m left join f using (src, x) where f.x is null group by 1) "
     "select documents.doc_id, case when company is null or documents.text is null then documents.text else coalesce(k.text, '') end as text from documents left join k using (doc_id)",

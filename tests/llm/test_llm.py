@@ -26,6 +26,8 @@ def test_empty_tables(spark, variants, name):
     got = registry.QUERIES[name](spark, variants["empty"])
     if name in ("p8_summary",):
         assert got.collect()[0]["containers"] == 0
+    elif name == "p10_thresholds":
+        assert got.count() == 0
     elif name == "p9_shares":
         assert all(r["tokens"] == 0 for r in got.collect())
     else:
@@ -337,14 +339,33 @@ def test_subjects_on_held_out_labels(spark):
     docs, labels = spark.read.parquet(f"{folder}/documents.parquet"), spark.read.parquet(f"{folder}/subject_labels.parquet")
     half = F.pmod(F.xxhash64("doc_id"), F.lit(2)) == 0
     names = sorted(r[0] for r in spark.read.parquet(f"{folder}/subjects.parquet").select("subject").collect())
-    terms = subjects.fit(docs, labels.where(half), names)
+    terms = subjects.fit(subjects.labelled(docs, labels.where(half)), names)
     held = labels.where(~half).distinct()
     texts = docs.where("text is not null").select("doc_id", "text").join(held.select("doc_id").distinct(), "doc_id")
-    found = {tuple(x) for x in subjects.assigned(texts.mapInArrow(subjects.scorer(terms), "doc_id long, subject string, sentences int, own int, n_all int")).select("doc_id", "subject").collect()}
+    found = {tuple(x) for x in texts.mapInArrow(subjects.scorer(terms), "doc_id long, subject string, sentences int, own int, n_all int").where(subjects.enough({})).select("doc_id", "subject").collect()}
     true = {tuple(x) for x in held.join(texts.select("doc_id"), "doc_id").select("doc_id", "subject").collect()}
     assert len(found & true) / len(found | true) > 0.9  # a few labels are wrong
 
 
+def test_thresholds_are_measured_on_held_out_labels(spark):
+    got = subjects.p10_thresholds(spark, "/root/testdata/sf0.1").collect()
+    assert len(got) == 10 and all(x["labels"] >= subjects.LEAST_HELD and x["precision"] > 0.85 and x["recall"] > 0.85 and x["share"] in subjects.SHARES for x in got)
+
+
+def test_thresholds_follow_the_labels(spark):
+    """A label given only where half of the sentences are of the subject needs a higher threshold; without labels it is SHARE."""
+    filler = {"law": "The verdict stood.", "sport": "The stadium shook.", "none": "The harvest went on."}
+    docs = []
+    for i in range(240):
+        k = i % 6
+        docs.append((i, f"company {i % 7}", " ".join([filler["law"]] * k + [filler["sport"]] * (5 - k) + [filler["none"]])))
+    d = spark.createDataFrame(docs, "doc_id long, company string, text string")
+    lab = spark.createDataFrame([(i, s) for i in range(240) for s, n in (("law", i % 6), ("sport", 5 - i % 6)) if n >= 3], "doc_id long, subject string")
+    got = subjects.calibrated(subjects.labelled(d, lab), ["law", "sport", "energy"])
+    assert got["energy"] == (subjects.SHARE, 0.0, 0.0, 0)
+    assert all(got[s][0] > 0.34 and got[s][1] == got[s][2] == 1.0 for s in ("law", "sport"))
+
+
 def test_sentences_vote(spark):
     terms = {"law": {"verdict": 1.0, "court": 1.0}, "sport": {"goal": 2.0}}
     rows_ = [(1, "The verdict stood. The court met.\nA goal fell."), (2, "Overgoal and goal-line and courtship."), (3, "No term here."), (4, "verdict " * 3 + "goal. " + "Goal!\nGOAL? " * 2)]

@@ -58,7 +58,7 @@ def _level(level: int, capacity: int, n_open: int, last: bool):
         part = int(pdf["part"].iloc[0])
         rows = sorted((-int(f) if level else int(o), [tuple(m.values()) if isinstance(m, dict) else tuple(m) for m in ms], int(f)) for f, ms, o in zip(pdf["fill"], pdf["items"], pdf["ord"], strict=True))
         closed, left = pack([(f, ms) for _, ms, f in rows], capacity, n_open)
-        boxes = [(c, last and False) for c in closed] + [(c, not last) for c in left]
+        boxes = [(c, False) for c in closed] + [(c, not last) for c in left]
         out = [(level, part, i, rest, fill, [{"doc_id": d, "piece_no": p, "tokens": t} for d, p, t in ms]) for i, ((fill, ms), rest) in enumerate(boxes)]
         return pd.DataFrame(out, columns=["level", "part", "seq", "leftover", "fill", "items"])
 

@@ -7,8 +7,8 @@ belongs to the subject with the largest weight in it, and a document to every su
 reaches the subject's threshold. Repeated notices and lines of figures hold no subject terms, so sentences without any
 are not counted as the document's own; a subject must also reach FLOOR of all sentences, so a stray term alone never
 decides. Thresholds are calibrated: with terms fitted on one half of the labelled sample, those of SHARES are measured on
-the other half, and of the thresholds whose F1 comes within NEAR of the best the one nearest to SHARE is taken, a third
-by the statement of the problem. A subject with fewer than LEAST_HELD labels there keeps SHARE.
+the other half, and of the thresholds whose F1 comes within a standard error of the best, or NEAR, the one nearest to
+SHARE is taken, a third by the statement of the problem. A subject with fewer than LEAST_HELD labels there keeps SHARE.
 
 Defined results: null, empty and termless texts have no subject; labels that name no document, repeated labels and
 null labels are ignored; rows of one doc_id count once; of equal weights in a sentence the first subject by name wins.
@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from ..operators.common import durable, once_per_key, table
 
 SHARE, FLOOR = 1 / 3, 0.1
-#: What calibration tries, how much F1 may fall short of the best, and how many held-out labels it needs.
+#: What calibration tries, how much F1 may always fall short of the best, and how many held-out labels it needs.
 SHARES, NEAR, LEAST_HELD = (0.2, 0.25, 0.3, 1 / 3, 0.36, 0.4, 0.45, 0.5), 0.01, 20
 #: The fit reads at most so many labelled documents and keeps at most so many terms of a subject.
 SAMPLE_DOCS, MAX_TERMS = 20_000, 400
@@ -161,7 +161,9 @@ def calibrated(sample: DataFrame, subjects: list[str]) -> dict[str, tuple[float,
     for s, rows in tried.items():
         if s not in out:
             continue
-        usable = [r for r in rows if r[0] >= max(rows)[0] - NEAR] if rows[0][4] >= LEAST_HELD else [r for r in rows if r[1] == SHARE]
+        best, n = max(rows)[0], rows[0][4]
+        near = max(NEAR, math.sqrt(best * (1 - best) / max(1, n)))
+        usable = [r for r in rows if r[0] >= best - near] if n >= LEAST_HELD else [r for r in rows if r[1] == SHARE]
         _, share, precision, recall, n = min(usable, key=lambda r: (abs(r[1] - SHARE), r[1]))
         out[s] = (share, precision, recall, n)
     return out

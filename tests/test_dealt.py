@@ -35,17 +35,34 @@ def test_orphans_at_the_edges(spark):
     assert got == [2, 4, 5, 8, 9, 10]
 
 
-def test_orphans_with_a_split_hot_key(spark, monkeypatch):
-    monkeypatch.setattr(common, "HOT_MIN_ROWS", 10)
-    parents = spark.createDataFrame([("hot", T0, T0 + 5 * DAY), ("cold", T0, None)], "key string, loaded_at timestamp, deleted_at timestamp")
-    kids = [(i, "hot" if i % 3 else "cold", T0 + (i % 10) * DAY) for i in range(600)]
-    refs = spark.createDataFrame(kids, "row_key long, k string, moment timestamp")
-    alive = orphans.existence_intervals(parents, "key")
-    on = lambda a, b: (b["since"] <= a["moment"]) & (b["until"].isNull() | (a["moment"] < b["until"]))
-    hot = common.hot_keys(refs.select("k"), "k", min_rows=10)
-    assert sorted(hot) == ["cold", "hot"]
-    got = {r[0] for r in common.salted_join(refs, alive, "k", on, "left_anti", F.col("row_key"), hot=hot).select("row_key").collect()}
-    assert got == {i for i, k, m in kids if k == "hot" and m >= T0 + 5 * DAY}
+@pytest.mark.parametrize("least", [10, 10_000])
+def test_orphans_with_a_split_hot_key(spark, monkeypatch, least):
+    monkeypatch.setattr(common, "HOT_MIN_ROWS", least)
+    parents = spark.createDataFrame([("hot", T0, T0 + 5 * DAY), ("hot", T0 + 7 * DAY, T0 + 8 * DAY), ("cold", T0, None)], "key string, loaded_at timestamp, deleted_at timestamp")
+    kids = [(i, "hot" if i % 3 else "cold", T0 + (i % 10) * DAY + (i % 5) * DAY / 7) for i in range(600)]
+    children = spark.createDataFrame(kids, "id long, ref string, ts timestamp")
+    assert sorted(common.hot_keys(children, "ref", min_rows=least)) == (["cold", "hot"] if least == 10 else [])
+    got = {int(r[0]) for r in orphans.orphan_rows(children, "id", "ref", "ts", parents, "key").collect()}
+    gone = lambda m: T0 + 5 * DAY <= m < T0 + 7 * DAY or m >= T0 + 8 * DAY
+    assert got == {i for i, k, m in kids if k == "hot" and gone(m)} and got
+
+
+def test_orphan_counts_follow_a_stream(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    write = lambda n, rows_: spark.createDataFrame(rows_, "k string, refs long, exist long").coalesce(1).write.parquet(str(tmp_path / "in" / f"d{n}"))
+    counts = orphans.OrphanCounts(spark, str(tmp_path / "state"))
+    write(0, [("a", 2, 0), ("b", 1, 1), ("c", 0, 1)])
+    for expected in ({("a", 2)}, {("b", 1), ("a", 1)}, {("b", 1)}):
+        q = counts.follow(spark.readStream.schema("k string, refs long, exist long").parquet(str(tmp_path / "in" / "*")), str(tmp_path / "check"))
+        q.processAllAvailable()
+        q.stop()
+        assert {tuple(r) for r in counts.current().collect()} == expected
+        if expected == {("a", 2)}:
+            write(1, [("a", -1, 0), ("b", 0, -1), ("c", 0, -1)])
+        else:
+            write(2 + len(expected), [("a", -1, 1)] if len(expected) == 2 else [("d", 0, 1)])
+    compact = counts.compact(str(tmp_path / "compact"))
+    assert {tuple(r) for r in compact.current().collect()} == {("b", 1)}
 
 
 def walk(parent):
@@ -138,6 +155,20 @@ def test_declared_units():
     assert U.declared("worth 402 million since $3bn", "money") is None
 
 
+@pytest.mark.parametrize("text,value,family,unit", [("output of 5,300 t in the year", 5300.0, "mass", "mass:tonne:"), ("a pipe of 12 m and $12 m", 12.0, "length", "length:metre:"), ("a pipe of 12 m", 12.0, "money", "money:million:"), ("sold 7 bbl", 7.0, "mass", None), ("¥5 tn of sales", 5.0, "money", "money:trillion:JPY")])
+def test_quantities_and_ambiguous_aliases(text, value, family, unit):
+    assert U.near_number(text, value, family) == unit
+
+
+def test_other_quantities_convert_and_the_rest_is_reported(spark):
+    metrics = spark.createDataFrame([("A", "Output", "t", None), ("A", "Net sales", "USDm", "USD")], "ticker string, metric string, units string, currency string")
+    none = (None,) * 6
+    rows_ = [(1, "a", "output", "d", 5300.0, "kg", *none), (2, "A", "Output", "d", 4.0, "lbs", *none), (3, "A", "Output", "d", 4.0, "EUR", *none), (4, "A", "Net sales", "d", 4.0, "EURm", *none), (5, "A", "Net sales", "d", None, "USDm", *none), (6, "B", "Net sales", "d", 4.0, "USDm", *none), (7, "A", "Net sales", None, 4.0, "USDm", *none)]
+    d = spark.createDataFrame(rows_, "id long, ticker string, metric string, doc string, value double, units string, raw string, text string, scale string, currency_mark string, is_percent boolean, is_pence boolean")
+    assert {x["id"]: round(x["common_value"], 9) for x in units.convert(d, metrics).collect()} == {1: 5.3, 2: 0.001814369}
+    assert {tuple(x) for x in units.unresolved(d, metrics).collect()} == {(3, "no unit"), (4, "other currency"), (5, "no value"), (6, "no such metric"), (7, "no document")}
+
+
 def test_values_match_as_all_pairs_do(spark, data):
     metrics = common.table(spark, data, "company_metrics")
     c = units.convert(units.candidate_rows(common.table(spark, data, "value_candidates")), metrics).collect()

@@ -1,7 +1,8 @@
 """Units in text: a multi-pattern automaton over unit aliases, longest match first, next to a given number.
 
 A unit is written as family:scale:currency, for example money:million:USD, share:unit:GBP, share:hundredth:EUR,
-percent:unit:, percent:hundredth: (basis points) or percent:ratio: (fractions of one).
+percent:unit:, percent:hundredth: (basis points), percent:ratio: (fractions of one) or, of a physical quantity,
+mass:tonne:. An alias may mean several things (m is a million or a metre); the metric's family decides.
 """
 
 from __future__ import annotations
@@ -10,8 +11,9 @@ import re
 from functools import lru_cache
 
 #: Aliases by what they say.
-CURRENCIES = {"$": "USD", "usd": "USD", "us$": "USD", "€": "EUR", "eur": "EUR", "£": "GBP", "gbp": "GBP"}
+CURRENCIES = {"$": "USD", "usd": "USD", "us$": "USD", "€": "EUR", "eur": "EUR", "£": "GBP", "gbp": "GBP", "¥": "JPY", "jpy": "JPY", "chf": "CHF", "cad": "CAD", "aud": "AUD", "cny": "CNY", "rmb": "CNY", "inr": "INR", "₹": "INR", "sek": "SEK", "nok": "NOK", "dkk": "DKK"}
 SCALES = {
+    "trillion": ("tn", "trillion", "trillions"),
     "billion": ("bn", "billion", "billions", "b"),
     "million": ("m", "mn", "mio", "million", "millions"),
     "thousand": ("k", "thousand", "thousands", "'000", "’000", "000"),
@@ -28,10 +30,19 @@ HUNDREDTHS = {"cents": "", "cent": "", "c": "", "¢": "", "pence": "GBP", "penny
 #: What conversion gives for a value of 1: the factor to the family's plain unit (percent points, currency units).
 FACTORS = {
     "percent:unit": 1.0, "percent:hundredth": 0.01, "percent:ratio": 100.0,
-    "money:unit": 1.0, "money:thousand": 1e3, "money:million": 1e6, "money:billion": 1e9,
+    "money:trillion": 1e12, "money:unit": 1.0, "money:thousand": 1e3, "money:million": 1e6, "money:billion": 1e9,
     "share:unit": 1.0, "share:hundredth": 0.01,
 }
 
+#: Physical quantities: unit, its factor to the dimension's plain unit, its aliases.
+QUANTITIES = {
+    "mass": (("kilogram", 1.0, ("kg", "kgs", "kilogram", "kilograms")), ("gram", 1e-3, ("g", "gram", "grams")), ("tonne", 1e3, ("t", "tonne", "tonnes", "metric ton", "metric tons")), ("pound", 0.45359237, ("lb", "lbs", "pound", "pounds"))),
+    "length": (("metre", 1.0, ("m", "metre", "metres", "meter", "meters")), ("kilometre", 1e3, ("km", "kilometre", "kilometres", "kilometer", "kilometers")), ("foot", 0.3048, ("ft", "foot", "feet")), ("mile", 1609.344, ("mi", "mile", "miles"))),
+    "volume": (("litre", 1.0, ("l", "litre", "litres", "liter", "liters")), ("cubic metre", 1e3, ("m3", "m³", "cubic metre", "cubic metres")), ("barrel", 158.987294928, ("bbl", "bbls", "barrel", "barrels"))),
+    "energy": (("kilowatt-hour", 1.0, ("kwh", "kilowatt-hour", "kilowatt-hours")), ("megawatt-hour", 1e3, ("mwh", "megawatt-hour", "megawatt-hours")), ("gigawatt-hour", 1e6, ("gwh", "gigawatt-hour", "gigawatt-hours")), ("gigajoule", 277.777777778, ("gj", "gigajoule", "gigajoules"))),
+}
+FACTORS |= {f"{dimension}:{unit}": factor for dimension, units in QUANTITIES.items() for unit, factor, _ in units}
+
 NUMBER = re.compile(r"\d[\d,]*(?:\.\d+)?|\.\d+")
 _SPACES = re.compile(r"[\s\u00a0]+")
 
@@ -54,8 +65,13 @@ def automaton():
     for alias, code in CURRENCIES.items():
         for scale, aliases in SCALES.items():
             say |= {alias + x: ("both", f"{scale}:{code}") for x in aliases if alias.isalpha() and x.isalpha() and len(x) <= 2}
-    for alias, meaning in say.items():
-        a.add_word(alias, (alias, meaning))
+    meanings = {alias: [meaning] for alias, meaning in say.items()}
+    for dimension, units in QUANTITIES.items():
+        for unit, _, names in units:
+            for x in names:
+                meanings.setdefault(x, []).append(("quantity", f"{dimension}:{unit}"))
+    for alias, several in meanings.items():
+        a.add_word(alias, (alias, several))
     a.make_automaton()
     return a
 
@@ -67,7 +83,7 @@ def clean(text: str) -> str:
 def aliases(text: str) -> list[tuple[int, int, str, str]]:
     """(start, end, kind, what) of the aliases in cleaned text: whole words, the longest at each place, none inside another."""
     found = []
-    for last, (alias, (kind, what)) in automaton().iter(text):
+    for last, (alias, several) in automaton().iter(text):
         start, end = last - len(alias) + 1, last + 1
         if alias[0].isalpha() and start and text[start - 1].isalpha():
             continue
@@ -75,17 +91,19 @@ def aliases(text: str) -> list[tuple[int, int, str, str]]:
             continue
         if alias[-1].isalnum() and end < len(text) and text[end].isalnum():
             continue
-        found.append((start, -end, kind, what))
-    out, reached = [], 0
-    for start, end, kind, what in sorted(found):
-        if start >= reached:
+        found += [(start, -end, i, *m) for i, m in enumerate(several)]
+    out, reached, place = [], 0, None
+    for start, end, _, kind, what in sorted(found):
+        if start >= reached or (start, end) == place:
             out.append((start, -end, kind, what))
-            reached = -end
+            reached, place = -end, (start, end)
     return out
 
 
 def compose(found: list[tuple[str, str]], family: str) -> str | None:
     """The unit that a set of aliases states for a metric of the given family, or None if they don't state one."""
+    if family in QUANTITIES:
+        return next((f"{what}:" for kind, what in found if kind == "quantity" and what.split(":")[0] == family), None)
     currency = scale = pct = None
     share = hundredth = False
     for kind, what in found:
@@ -128,7 +146,7 @@ def _chain(text: str, start: int, end: int, found: list) -> list[tuple[str, str]
     out = []
     after = end
     for s, e, kind, what in found:
-        if s >= after:
+        if s >= after or e == after:
             if text[after:s].strip(" )-/"):
                 break
             out.append((kind, what))

@@ -105,7 +105,7 @@ def p5_joined(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every evidence row, once, with the value and units of the anchor valid and known at its ts, null where none is."""
     ev = table(spark, sf_dir, "evidence")
     known = p5_found(spark, sf_dir)
-    a = table(spark, sf_dir, "guidance_anchors").groupBy("anchor_id").agg(F.first(F.struct("value", "units")).alias("a"))
+    a = table(spark, sf_dir, "guidance_anchors").groupBy("anchor_id").agg(F.min(F.struct("value", "units")).alias("a"))
     rows = ev.groupBy("evidence_id").agg(F.min(F.struct("series_id", "ts", "value")).alias("e"))
     return rows.join(known.join(a, "anchor_id"), "evidence_id", "left").select(
         "evidence_id", "e.series_id", "e.ts", F.col("e.value").alias("value"), "anchor_id", F.col("a.value").alias("anchor_value"), F.col("a.units").alias("anchor_units"))

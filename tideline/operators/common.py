@@ -21,7 +21,7 @@ BLANKS = " \t\n\r\f\v\u00a0"
 #: A key is hot if it holds this share of a table's rows or more, so there are at most 1 / HOT_SHARE hot keys.
 HOT_SHARE = 1 / 200
 #: Below this many rows a table is one small task's work and no key of it is split.
-HOT_MIN_ROWS = 2_000_000
+HOT_MIN_ROWS = 200_000
 SALTS = 32
 
 
@@ -128,28 +128,33 @@ def sized_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "i
     return left.join(F.broadcast(right) if right.count() <= MAX_BROADCAST_ROWS else right, keys, how)
 
 
-def hot_keys(df: DataFrame, key: str, share: float = HOT_SHARE, min_rows: int = HOT_MIN_ROWS) -> list:
-    """Keys that hold at least `share` of the rows, hence at most 1 / share of them; none in a table under min_rows."""
+def hot_keys(df: DataFrame, key: str, share: float = HOT_SHARE, min_rows: int | None = None) -> list:
+    """Keys that hold at least `share` of the rows, hence at most 1 / share of them; none in a table under min_rows, HOT_MIN_ROWS if not given."""
     n = df.count()
-    if n < min_rows:
+    if n < (HOT_MIN_ROWS if min_rows is None else min_rows):
         return []
     rows = df.where(F.col(key).isNotNull()).groupBy(key).count().where(F.col("count") >= n * share).collect()
     return [r[0] for r in rows]
 
 
-def salted_join(left: DataFrame, right: DataFrame, key: str, on, how: str, spread: Column, salts: int = SALTS, hot: list | None = None) -> DataFrame:
-    """left joined to right on equal `key` and the condition on(left, right), hot keys of left split into `salts` parts.
+def salt(key: Column, hot: list, spread: Column, n: int = SALTS) -> Column:
+    """The part that a row goes to: a hash of spread where its key is hot, else 0."""
+    return F.when(key.isin(hot), F.pmod(F.xxhash64(spread), F.lit(n)).cast("int")).otherwise(F.lit(0)) if hot else F.lit(0)
+
+
+def salts(key: Column, hot: list, n: int = SALTS) -> Column:
+    """All parts of a key."""
+    return F.when(key.isin(hot), F.sequence(F.lit(0), F.lit(n - 1))).otherwise(F.array(F.lit(0))) if hot else F.array(F.lit(0))
+
+
+def salted_join(left: DataFrame, right: DataFrame, key: str, on, how: str, spread: Column, parts: int = SALTS, hot: list | None = None) -> DataFrame:
+    """left joined to right on equal `key` and the condition on(left, right), hot keys of left split into `parts` parts.
 
     Rows of a hot key go to part hash(spread) of left; right's few rows of that key are copied to every part. how is
     any of inner, left, left_semi, left_anti.
     """
     hot = hot_keys(left.select(key), key) if hot is None else hot
-    if not hot:
-        lhs, rhs = left.withColumn("_salt", F.lit(0)), right.withColumn("_salt", F.lit(0))
-    else:
-        lhs = left.withColumn("_salt", F.when(F.col(key).isin(hot), F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int")).otherwise(F.lit(0)))
-        parts = F.when(F.col(key).isin(hot), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
-        rhs = right.withColumn("_salt", F.explode(parts))
+    lhs, rhs = left.withColumn("_salt", salt(F.col(key), hot, spread, parts)), right.withColumn("_salt", F.explode(salts(F.col(key), hot, parts)))
     cond = (lhs[key] == rhs[key]) & (lhs["_salt"] == rhs["_salt"])
     extra = on(lhs, rhs)
     out = lhs.join(rhs, cond if extra is None else cond & extra, how)

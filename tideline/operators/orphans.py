@@ -2,7 +2,8 @@
 
 Every change of a referenced table is a signed delta of its key's existence (+1 when a version arrives, -1 when it is
 withdrawn), every referring row a delta of the key's references. Running sums of the deltas give the key's existence
-at any moment; keys with positive references and zero existence are orphans.
+at any moment; keys with positive references and zero existence are orphans, at the moment of the reference
+(orphan_rows) or at present (OrphanCounts, which is kept up to date from batches of deltas).
 
 Defined results: null and blank references are never orphans; a referring row without a moment is one, since nothing
 is known to exist at an unknown moment; a version without arrival, or withdrawn no later than it arrived, never
@@ -11,12 +12,13 @@ existed; repeated rows count once; empty tables give empty results; further colu
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import norm_key, salted_join, table
+from .common import durable, hot_keys, norm_key, salt, salts, table, work_dir
 
 #: (referring table, its row key, its reference, its moment, the referenced table, the referenced key)
 REFERENCES = (
@@ -25,7 +27,7 @@ REFERENCES = (
     ("evidence", "evidence_id", "task_id", "ts", "tasks", "task_id"),
 )
 
-BLOCK_DAYS = 30
+DAY_MICROS = 86_400_000_000
 
 
 def existence_deltas(parents: DataFrame, key: str, born: str = "loaded_at", died: str = "deleted_at") -> DataFrame:
@@ -36,33 +38,30 @@ def existence_deltas(parents: DataFrame, key: str, born: str = "loaded_at", died
     return p.select("k", F.inline(both)).where("t is not null").groupBy("k", "t").agg(F.sum("d").alias("d")).where("d <> 0")
 
 
-def existence_intervals(parents: DataFrame, key: str, born: str = "loaded_at", died: str = "deleted_at") -> DataFrame:
-    """(k, since, until): the disjoint half-open intervals in which at least one version of k exists; until may be null.
+def orphan_rows(children: DataFrame, row_key: str, ref: str, moment: str, parents: DataFrame, key: str) -> DataFrame:
+    """(row_key, k, moment): rows of children whose key has positive references and zero existence at their moment.
 
-    The running count is taken in two steps, over blocks of days and inside a block, so that the history of one key
-    is never sorted in one piece.
+    Deltas of existence and references stand in one table, ordered by moment. The running sum of existence is taken in
+    two steps: over days, whose sums enter the next day as an opening delta, and inside a day, so no key's history is
+    sorted in one piece. References of a hot key are split; the few deltas of its existence go to every part.
     """
-    deltas = existence_deltas(parents, key, born, died).withColumn("blk", F.floor(F.unix_micros("t") / F.lit(BLOCK_DAYS * 86_400_000_000)))
-    over_blocks = Window.partitionBy("k").orderBy("blk")
-    blocks = (
-        deltas.groupBy("k", "blk").agg(F.sum("d").alias("s"), F.min("t").alias("first"))
-        .select("k", "blk", (F.sum("s").over(over_blocks) - F.col("s")).alias("opening"), F.lead("first").over(over_blocks).alias("next_first"))
-    )
-    inside = Window.partitionBy("k", "blk").orderBy("t")
-    runs = deltas.join(blocks, ["k", "blk"]).select(
-        "k", F.col("t").alias("since"),
-        F.coalesce(F.lead("t").over(inside), "next_first").alias("until"),
-        (F.col("opening") + F.sum("d").over(inside)).alias("n"),
-    )
-    return runs.where("n > 0").select("k", "since", "until")
-
-
-def orphan_rows(children: DataFrame, row_key: str, ref: str, moment: str, parents: DataFrame, key: str) -> DataFrame:
-    """(row_key, k, moment): rows of children whose reference names nothing that exists at their moment."""
+    micros = lambda c: F.unix_micros(c).alias("t")
+    day = F.floor(F.col("t") / F.lit(DAY_MICROS)).alias("day")
     refs = children.select(F.col(row_key).cast("string").alias("row_key"), norm_key(ref).alias("k"), F.col(moment).alias("moment")).where("k is not null")
-    alive = existence_intervals(parents, key)
-    on = lambda a, b: (b["since"] <= a["moment"]) & (b["until"].isNull() | (a["moment"] < b["until"]))
-    return salted_join(refs, alive, "k", on, "left_anti", spread=F.col("row_key")).select("row_key", "k", "moment").distinct()
+    dated = refs.where("moment is not null").select("k", micros("moment"), "row_key", "moment")
+    exist = existence_deltas(parents, key).select("k", micros("t"), "d")
+    sums = exist.groupBy("k", day).agg(F.sum("d").alias("s")).unionByName(dated.select("k", day).distinct().withColumn("s", F.lit(0).cast("long"))).groupBy("k", "day").agg(F.sum("s").alias("s"))
+    before = F.sum("s").over(Window.partitionBy("k").orderBy("day").rowsBetween(Window.unboundedPreceding, -1))
+    opening = sums.select("k", (F.col("day") * F.lit(DAY_MICROS)).alias("t"), before.alias("d")).where("d <> 0")
+    hot = hot_keys(dated.select("k"), "k")
+    part, parts = salt(F.col("k"), hot, F.col("row_key")), salts(F.col("k"), hot)
+    none = lambda kind: F.lit(None).cast(kind)
+    # an opening delta holds from the very start of its day, before those of that moment; sums do not care for the order
+    changes = exist.unionByName(opening).withColumn("part", F.explode(parts)).select("k", day, "part", "t", "d", none("string").alias("row_key"), none("timestamp").alias("moment"))
+    both = changes.unionByName(dated.select("k", day, part.alias("part"), "t", F.lit(0).cast("long").alias("d"), "row_key", "moment"))
+    running = F.sum("d").over(Window.partitionBy("k", "day", "part").orderBy("t").rangeBetween(Window.unboundedPreceding, Window.currentRow))
+    found = both.withColumn("exists", running).where("row_key is not null and exists = 0").select("row_key", "k", "moment")
+    return found.unionByName(refs.where("moment is null").select("row_key", "k", "moment")).distinct()
 
 
 def all_orphans(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -78,11 +77,11 @@ def _live(deleted: Column | None) -> Column:
     return F.lit(1) if deleted is None else F.when(deleted.isNull(), 1).otherwise(0)
 
 
-def current_orphans(children: DataFrame, row_key: str, ref: str, parents: DataFrame, key: str) -> DataFrame:
-    """(k, refs): keys that live rows of children refer to now and no live version of parents has.
+def current_deltas(children: DataFrame, row_key: str, ref: str, parents: DataFrame, key: str) -> DataFrame:
+    """(k, refs, exist): signed deltas that lead from nothing to the present state, combined per key.
 
-    References and existence are summed per key in one aggregation of signed deltas, combined before the shuffle, so
-    a hot key arrives as one partial row per input split. Versions of one referring row count as one reference.
+    Versions of one referring row count as one reference, withdrawn rows as none. A hot key arrives as one partial
+    row per input split.
     """
     dead = F.col("deleted_at") if "deleted_at" in children.columns else None
     refs = (
@@ -91,7 +90,46 @@ def current_orphans(children: DataFrame, row_key: str, ref: str, parents: DataFr
         .select("k", "refs", F.lit(0).alias("exist"))
     )
     exist = parents.select(norm_key(key).alias("k"), F.lit(0).alias("refs"), _live(F.col("deleted_at")).alias("exist")).where("k is not null")
-    return refs.unionByName(exist).groupBy("k").agg(F.sum("refs").alias("refs"), F.sum("exist").alias("exist")).where("refs > 0 and exist = 0").select("k", "refs")
+    return refs.unionByName(exist).groupBy("k").agg(F.sum("refs").alias("refs"), F.sum("exist").alias("exist"))
+
+
+def reported(counts: DataFrame) -> DataFrame:
+    """(k, refs): keys with positive references and zero existence."""
+    return counts.where("refs > 0 and exist = 0").select("k", "refs")
+
+
+class OrphanCounts:
+    """Signed reference and existence counts per key, kept in a folder that all executors share.
+
+    Every batch of deltas is one sub-folder with a row per key that it changes; the state is their sum. A batch that is
+    written again replaces itself, so a retried batch counts once. compact() folds all batches so far into one.
+    """
+
+    SCHEMA = "k string, refs long, exist long"
+
+    def __init__(self, spark: SparkSession, folder: str):
+        self.spark, self.folder = spark, folder.rstrip("/")
+
+    def update(self, deltas: DataFrame, batch_id: int) -> None:
+        """deltas: k, refs, exist, the changes of both counts, any number of rows a key."""
+        d = deltas.groupBy("k").agg(F.sum("refs").alias("refs"), F.sum("exist").alias("exist")).where("refs <> 0 or exist <> 0")
+        d.write.mode("overwrite").parquet(f"{self.folder}/batch={batch_id}")
+
+    def follow(self, deltas: DataFrame, checkpoint: str):
+        """A running query that keeps the counts from a stream of deltas."""
+        return deltas.writeStream.foreachBatch(self.update).option("checkpointLocation", checkpoint).start()
+
+    def counts(self) -> DataFrame:
+        return self.spark.read.schema(self.SCHEMA).parquet(self.folder).groupBy("k").agg(F.sum("refs").alias("refs"), F.sum("exist").alias("exist"))
+
+    def current(self) -> DataFrame:
+        return reported(self.counts())
+
+    def compact(self, into: str) -> OrphanCounts:
+        """The same counts in a new folder, keys at zero left out; the old folder may be deleted afterwards."""
+        out = OrphanCounts(self.spark, into)
+        out.update(self.counts(), -1)
+        return out
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -108,12 +146,28 @@ def p2_current(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Keys referred to now without a live row, per referring table, with the number of referring rows."""
     parts = []
     for child, row_key, ref, _, parent, key in REFERENCES:
-        rows = current_orphans(table(spark, sf_dir, child), row_key, ref, table(spark, sf_dir, parent), key)
+        rows = reported(current_deltas(table(spark, sf_dir, child), row_key, ref, table(spark, sf_dir, parent), key))
         parts.append(rows.select(F.lit(child).alias("table_name"), F.col("k").alias("missing_key"), "refs"))
     return reduce(DataFrame.unionByName, parts)
 
 
-QUERIES = {"p2_found": p2_found, "p2_monthly": p2_monthly, "p2_current": p2_current}
+def p2_maintained(spark: SparkSession, sf_dir: str, batches: int = 3) -> DataFrame:
+    """p2_current from counts that were kept batch by batch; one batch is given twice, as after a failure, and the state compacted."""
+    parts = []
+    for child, row_key, ref, _, parent, key in REFERENCES:
+        deltas = durable(current_deltas(table(spark, sf_dir, child), row_key, ref, table(spark, sf_dir, parent), key), "deltas")
+        kept = OrphanCounts(spark, f"{work_dir(spark)}/tideline-orphans-{uuid.uuid4().hex}")
+        for i in [*range(batches), batches - 1]:
+            # references and existence of one key arrive in different batches
+            late = F.pmod(F.xxhash64("k"), F.lit(batches))
+            mine = deltas.select("k", "refs", F.lit(0).alias("exist")).where(late == i).unionByName(deltas.select("k", F.lit(0).alias("refs"), "exist").where((late + 1) % batches == i))
+            kept.update(mine, i)
+        kept = kept.compact(f"{kept.folder}-compact")
+        parts.append(kept.current().select(F.lit(child).alias("table_name"), F.col("k").alias("missing_key"), "refs"))
+    return reduce(DataFrame.unionByName, parts)
+
+
+QUERIES = {"p2_found": p2_found, "p2_monthly": p2_monthly, "p2_current": p2_current, "p2_maintained": p2_maintained}
 
 #: norm_key() in the oracle's dialect.
 KEY_SQL = "nullif(lower(trim({c}, ' ' || chr(9) || chr(10) || chr(13) || chr(12) || chr(11) || chr(160))), '')"
@@ -144,4 +198,5 @@ ORACLES = {
     "p2_found": f"select distinct table_name, row_key from ({_found_sql()})",
     "p2_monthly": f"select table_name, strftime(moment at time zone 'UTC', '%Y-%m') as month, count(distinct row_key) as orphans from ({_found_sql()}) group by all",
     "p2_current": _current_sql(),
+    "p2_maintained": _current_sql(),
 }

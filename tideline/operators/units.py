@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import unit_text as U
-from .common import norm_key, salted_join, table
+from .common import durable, norm_key, salted_join, table
 
 #: Two values agree if they differ by at most this part of the larger magnitude.
 TOLERANCE = 0.0005
@@ -31,8 +31,11 @@ def factors(spark: SparkSession) -> DataFrame:
 def common_units(metrics: DataFrame) -> DataFrame:
     """(tk, metric_key, family, currency, common_factor): the units each company's metric is converted to, one row per key."""
     u = F.col("units")
-    family = F.when(u == "%", "percent").when(u.contains("share") | (u == "GBp"), "share").otherwise("money")
-    plain = F.when(u == "GBp", 0.01).when(u.endswith("bn"), 1e9).when(u.endswith("m") & ~u.contains("share"), 1e6).when(u.endswith("k"), 1e3).otherwise(1.0)
+    quantities = {x: (dimension, factor) for dimension, of in U.QUANTITIES.items() for _, factor, names in of for x in names if x != "m"}
+    dimension = F.create_map(*[F.lit(x) for k, (d, _) in quantities.items() for x in (k, d)])[F.lower(u)]
+    size = F.create_map(*[F.lit(x) for k, (_, f) in quantities.items() for x in (k, f)])[F.lower(u)]
+    family = F.when(u == "%", "percent").when(u.contains("share") | (u == "GBp"), "share").otherwise(F.coalesce(dimension, F.lit("money")))
+    plain = F.when(dimension.isNotNull(), size).when(u == "GBp", 0.01).when(u.endswith("bn"), 1e9).when(u.endswith("m") & ~u.contains("share"), 1e6).when(u.endswith("k"), 1e3).otherwise(1.0)
     rows = metrics.select(norm_key("ticker").alias("tk"), norm_key("metric").alias("metric_key"), family.alias("family"), "currency", plain.alias("common_factor"))
     return rows.where("tk is not null and metric_key is not null").dropDuplicates(["tk", "metric_key"])
 
@@ -42,6 +45,24 @@ def ticker_key(c: str) -> Column:
     return F.element_at(F.split(norm_key(c), ":"), -1)
 
 
+def rows_with_units(rows: DataFrame, metrics: DataFrame) -> DataFrame:
+    """(id, doc_key, metric_key, value, currency, common_factor, unit): figures of known metrics with the unit found for each, or null.
+
+    rows: id bigint, ticker, metric, doc, value, units, raw, text, scale, currency_mark, is_percent, is_pence.
+    company_metrics has a fixed size and is broadcast.
+    """
+    known = F.broadcast(common_units(metrics))
+    r = rows.select(
+        "id", norm_key("doc").alias("doc_key"), ticker_key("ticker").alias("tk"), norm_key("metric").alias("metric_key"),
+        "value", "units", "raw", "text", "scale", "currency_mark", "is_percent", "is_pence",
+    ).where("id is not null and doc_key is not null and value is not null and not isnan(value) and abs(value) < double('infinity')")
+    r = r.join(known, ["tk", "metric_key"])
+    keep = ("id", "doc_key", "metric_key", "value", "currency", "common_factor")
+    r = r.withColumn("row", F.struct(*keep)).select("row", "value", "family", "units", "raw", "text", "scale", "currency_mark", "is_percent", "is_pence")
+    row_type = r.schema["row"].dataType.simpleString()
+    return r.mapInArrow(_resolve, f"row {row_type}, unit string").select("row.*", "unit")
+
+
 def _resolve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     memo: dict = {}
     for b in batches:
@@ -85,27 +106,25 @@ def _resolve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def convert(rows: DataFrame, metrics: DataFrame) -> DataFrame:
-    """(id, doc_key, metric_key, common_value) of rows whose value converts to the common units.
-
-    rows: id bigint, ticker, metric, doc, value, units, raw, text, scale, currency_mark, is_percent, is_pence.
-    company_metrics has a fixed size and the factors are a fixed table; both are broadcast.
-    """
-    known = F.broadcast(common_units(metrics))
-    r = rows.select(
-        "id", norm_key("doc").alias("doc_key"), ticker_key("ticker").alias("tk"), norm_key("metric").alias("metric_key"),
-        "value", "units", "raw", "text", "scale", "currency_mark", "is_percent", "is_pence",
-    ).where("id is not null and doc_key is not null and value is not null and not isnan(value) and abs(value) < double('infinity')")
-    r = r.join(known, ["tk", "metric_key"])
-    keep = ("id", "doc_key", "metric_key", "value", "currency", "common_factor")
-    r = r.withColumn("row", F.struct(*keep)).select("row", "value", "family", "units", "raw", "text", "scale", "currency_mark", "is_percent", "is_pence")
-    row_type = r.schema["row"].dataType.simpleString()
-    units = r.mapInArrow(_resolve, f"row {row_type}, unit string").where("unit is not null").select("row.*", "unit")
+    """(id, doc_key, metric_key, common_value) of rows whose value converts to the common units; the factors are a fixed table."""
     parts = F.split("unit", ":")
-    u = units.select("id", "doc_key", "metric_key", "value", "currency", "common_factor", F.concat_ws(":", parts[0], parts[1]).alias("unit"), parts[2].alias("stated"))
+    u = rows_with_units(rows, metrics).where("unit is not null")
+    u = u.select("id", "doc_key", "metric_key", "value", "currency", "common_factor", F.concat_ws(":", parts[0], parts[1]).alias("unit"), parts[2].alias("stated"))
     u = u.where("stated = '' or stated = currency").join(F.broadcast(factors(rows.sparkSession)), "unit")
     return u.select("id", "doc_key", "metric_key", (F.col("value") * F.col("factor") / F.col("common_factor")).alias("common_value")).distinct()
 
 
+def unresolved(rows: DataFrame, metrics: DataFrame) -> DataFrame:
+    """(id, reason) of the rows that convert() leaves out: no value, no such metric, no unit found, or another currency."""
+    known = F.broadcast(common_units(metrics).select("tk", "metric_key").withColumn("known", F.lit(True)))
+    fine = F.col("value").isNotNull() & ~F.isnan("value") & (F.abs("value") < float("inf"))
+    r = rows.where("id is not null").withColumn("tk", ticker_key("ticker")).withColumn("metric_key", norm_key("metric")).join(known, ["tk", "metric_key"], "left")
+    before = r.select("id", F.when(~fine, "no value").when(norm_key("doc").isNull(), "no document").when(F.col("known").isNull(), "no such metric").alias("reason"))
+    stated = F.split("unit", ":")[2]
+    after = rows_with_units(rows, metrics).select("id", F.when(F.col("unit").isNull(), "no unit").when((stated != "") & (stated != F.col("currency")), "other currency").alias("reason"))
+    return before.unionByName(after).where("reason is not null").distinct()
+
+
 def evidence_rows(ev: DataFrame) -> DataFrame:
     no = lambda t: F.lit(None).cast(t)
     return ev.select(
@@ -133,7 +152,8 @@ def matches(candidates: DataFrame, evidence: DataFrame, tolerance: float = TOLER
     c = c.select("candidate_id", "cv", key(F.when(v != 0, F.col("band"))).alias("k"))
     e = evidence.select(F.col("id").alias("evidence_id"), v.alias("ev"), key(band).alias("k"))
     on = lambda a, b: F.abs(a["ev"] - b["cv"]) <= F.lit(tolerance * (1 + 1e-12)) * F.greatest(F.abs(a["ev"]), F.abs(b["cv"]))
-    return salted_join(e, c, "k", on, "inner", spread=F.col("evidence_id"), hot=[]).select("candidate_id", "evidence_id").distinct()
+    e = durable(e, "figures")  # read twice, to count its keys and to join
+    return salted_join(e, c, "k", on, "inner", spread=F.col("evidence_id")).select("candidate_id", "evidence_id").distinct()
 
 
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -149,5 +169,14 @@ def p6_converted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ev.unionByName(vc)
 
 
-QUERIES = {"p6_found": p6_found, "p6_converted": p6_converted}
+def p6_unresolved(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many figures of each table and metric were not converted, and why."""
+    metrics, parts = table(spark, sf_dir, "company_metrics"), []
+    for name, rows in (("evidence", evidence_rows(table(spark, sf_dir, "evidence"))), ("value_candidates", candidate_rows(table(spark, sf_dir, "value_candidates")))):
+        bad = unresolved(rows, metrics)
+        parts.append(bad.groupBy("reason").agg(F.countDistinct("id").alias("figures")).select(F.lit(name).alias("table_name"), "reason", "figures"))
+    return parts[0].unionByName(parts[1])
+
+
+QUERIES = {"p6_found": p6_found, "p6_converted": p6_converted, "p6_unresolved": p6_unresolved}
 ORACLES: dict[str, str] = {}

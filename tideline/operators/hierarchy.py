@@ -5,7 +5,8 @@ next splitter above, its stride doubling each round, so the walks take as many r
 gap. The splitters form a reduced pointer graph, solved in the same way, and each node's exact path is its walk
 followed by its splitter's path. A walk that meets no splitter ends on a loop without one. Those walks are told apart by
 a round that resolves nothing: were an open pointer at a finite distance from its end, the node on its way that is
-just out of reach would have been resolved in that round.
+just out of reach would have been resolved in that round. Finished rows are written once and never again; many nodes
+that point at one are the large side of an equi-join, which adaptive execution splits.
 
 Defined results: null task ids are dropped; versions of a task count as one; a parent that is null, blank, missing or
 of another run makes the task a root; a task on a loop or below one has root `cycle` and null path and depth.
@@ -13,10 +14,12 @@ of another run makes the task a root; a task on a loop or below one has root `cy
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import durable, norm_key, table
+from .common import MAX_BROADCAST_ROWS, durable, norm_key, sized_join, table
 from .orphans import KEY_SQL
 
 STRIDE = 8
@@ -33,26 +36,34 @@ def links(tasks: DataFrame, key: str = "task_id", parent: str = "parent_id", gro
     return nodes.join(above, "p", "left").select("id", "name", F.when(F.col("there") & F.col("g").eqNullSafe(F.col("pg")), F.col("p")).alias("up"))
 
 
-def _step(state: DataFrame, jumps: DataFrame) -> DataFrame:
-    """state's open pointers advanced by one jump; a pointer may be anything that jumps has as id."""
+def _union(parts: list[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _step(open_: DataFrame, n: int, jumps: DataFrame) -> DataFrame:
+    """Open pointers advanced by one jump; they point at nothing that jumps has not. The pointers are broadcast if counted few."""
     j = jumps.select(F.col("id").alias("ptr"), F.col("ptr").alias("ptr2"), F.col("done").alias("done2"), F.col("seg").alias("seg2"))
-    moved = state.join(j, "ptr", "left")
-    return moved.select("id", F.col("ptr2").alias("ptr"), F.col("done2").alias("done"), F.concat("seg", "seg2").alias("seg"))
+    moved = j.join(F.broadcast(open_) if n <= MAX_BROADCAST_ROWS else open_, "ptr")
+    return moved.select("id", "name", "top", F.col("ptr2").alias("ptr"), F.col("done2").alias("done"), F.concat("seg", "seg2").alias("seg"))
 
 
 def _double(state: DataFrame, tag: str) -> DataFrame:
-    """Pointer doubling until every pointer is done or provably on a loop: (id, ptr, done, seg), ptr null on a loop.
+    """Pointer doubling until every pointer is done or provably on a loop: state with ptr null on a loop.
 
-    state's `done` rows never move; seg lists the nodes from id (included) up to ptr (excluded).
+    Done rows never move and are written once; each round writes the rows that were still open. seg lists the nodes from
+    id (included) up to ptr (excluded).
     """
     state, before = durable(state, tag), -1
-    while left := state.where("not done").count():
+    done, open_ = [state.where("done")], state.where("not done")
+    while left := open_.count():
         if left == before:
-            looped = state.where("not done").select("id", F.lit(None).cast("string").alias("ptr"), F.lit(True).alias("done"), F.lit(None).cast("array<string>").alias("seg"))
-            return state.where("done").unionByName(looped)
+            done.append(open_.select("id", "name", "top", F.lit(None).cast("string").alias("ptr"), F.lit(True).alias("done"), F.lit(None).cast("array<string>").alias("seg")))
+            break
         before = left
-        state = durable(state.where("done").unionByName(_step(state.where("not done"), state)), tag)
-    return state
+        moved = durable(_step(open_, left, _union([*done, open_])), tag)
+        done.append(moved.where("done"))
+        open_ = moved.where("not done")
+    return _union(done)
 
 
 def _splits(c: Column, stride: int) -> Column:
@@ -64,24 +75,22 @@ def solve(up: DataFrame, stride: int = STRIDE, paths: bool = False) -> DataFrame
 
     With paths=False the path column is null and only pointers travel.
     """
-    up = durable(up, "links")
-    me = F.array("name") if paths else F.array().cast("array<string>")
+    none = F.array().cast("array<string>")
     # walk to the next splitter: a pointer at a splitter or root is done
     walk = up.select(
-        "id", F.coalesce("up", "id").alias("ptr"),
+        "id", "name", F.col("up").isNull().alias("top"), F.coalesce("up", "id").alias("ptr"),
         (F.col("up").isNull() | F.coalesce(_splits(F.col("up"), stride), F.lit(False))).alias("done"),
-        F.when(F.col("up").isNotNull(), me).otherwise(F.array().cast("array<string>")).alias("seg"),
+        (F.when(F.col("up").isNotNull(), F.array("name")).otherwise(none) if paths else none).alias("seg"),
     )
     walked = _double(walk, "walk")
     # the reduced graph: splitters and roots only
-    heads = up.select("id", F.col("up").isNull().alias("is_root")).where(F.col("is_root") | _splits(F.col("id"), stride))
-    reduced = walked.join(heads, "id").select("id", "ptr", (F.col("is_root") | F.col("ptr").isNull()).alias("done"), "seg")
+    reduced = walked.where(F.col("top") | _splits(F.col("id"), stride)).withColumn("done", F.col("top") | F.col("ptr").isNull())
     solved = _double(reduced, "reduced").select(F.col("id").alias("ptr"), F.col("ptr").alias("root"), F.col("seg").alias("seg2"))
-    whole = walked.join(solved, "ptr", "left").join(up, "id")
-    names = up.select(F.col("id").alias("root"), F.col("name").alias("root_name"))
-    whole = whole.join(names, "root", "left")
+    names = walked.where("top").select(F.col("id").alias("root"), F.col("name").alias("root_name"))
+    heads = durable(solved.join(names, "root", "left").select("ptr", "root_name", "seg2"), "heads")
+    whole = sized_join(walked, heads, ["ptr"], "left")
     path = F.reverse(F.concat("seg", "seg2", F.array("root_name"))) if paths else F.lit(None).cast("array<string>")
-    return whole.select("id", "name", F.col("root_name").alias("root"), F.when(F.col("root").isNotNull(), path).alias("path"))
+    return whole.select("id", "name", F.col("root_name").alias("root"), F.when(F.col("root_name").isNotNull(), path).alias("path"))
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:

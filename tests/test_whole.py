@@ -5,6 +5,7 @@ import datetime as dt
 import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 
@@ -90,3 +91,67 @@ def test_no_filing_is_lost_behind_many_candidates(spark, planted):
     assert [(r["key"], r["events"]) for r in query("pipeline_backtest")(spark, d).collect()] == [("acme|Gross margin", 1)]
     assert sorted(r["doc_id"] for r in query("l1_series")(spark, d).collect()) == [1, 2]
     assert [(r["doc_id"], r["value"]) for r in query("l4_guidance")(spark, d).collect()] == [(2, 60.0)]
+
+
+# run store, replies, environment, scratch tables
+
+
+def test_run_store_tables_migrate_and_delete(spark, tmp_path):
+    from tideline.operators import runstore as S
+
+    S.create_tables(spark, str(tmp_path))
+    S.create_tables(spark, str(tmp_path))
+    path = str(tmp_path / "profiles")
+    at = lambda n: dt.datetime(2025, 1, n)
+    old = spark.createDataFrame([("A", "long", "one", at(1)), ("B", "long", "two", at(1))], "ticker string, horizon string, body string, saved_at timestamp")
+    new = S.migrated(old, S.TABLES["profiles"])
+    assert new.columns == [f.name for f in spark.read.parquet(path).schema] and {r["deleted"] for r in new.collect()} == {None}
+    gone = S.delete(new, spark.createDataFrame([("A", "long"), ("C", "long")], "ticker string, horizon string"), ["ticker", "horizon"], "saved_at", F.lit(at(2)))
+    both = S.upsert(new, gone, ["ticker", "horizon"], "saved_at")
+    assert {(r["ticker"], r["deleted"]) for r in both.collect()} == {("A", True), ("B", None)}
+    assert S.delete(both, gone, ["ticker", "horizon"], "saved_at", F.lit(at(3))).count() == 0
+    again = S.upsert(both, new.withColumn("saved_at", F.lit(at(4))), ["ticker", "horizon"], "saved_at")
+    assert {(r["ticker"], r["deleted"]) for r in again.collect()} == {("A", None), ("B", None)}
+
+
+def test_replies():
+    from tideline.functions.replies import first_problem
+
+    s = {"type": "object", "required": ["a"], "properties": {"a": {"type": "array", "items": {"type": "number"}}, "b": {"type": "boolean"}, "c": {"type": "string"}}}
+    assert [first_problem(v, s) for v in ({"a": [1, 2.5], "b": None}, {}, {"a": [1, True]}, {"a": [], "b": 0}, {"a": {}}, [], {"a": [], "c": 1})] == [None, "/a: missing", "/a/1: not of type number", "/b: not of type boolean", "/a: not of type array", "/: not of type object", "/c: not of type string"]
+
+
+def test_environment_file(tmp_path, monkeypatch):
+    import os
+
+    from tideline.sources.readers import environment
+
+    monkeypatch.setenv("TIDELINE_B", "set")
+    (tmp_path / ".env").write_text("# no\n\nTIDELINE_A = 'x=y'\nTIDELINE_B=\"other\"\n=z\nword\n")
+    assert environment(str(tmp_path / ".env")) == {"TIDELINE_A": "x=y", "TIDELINE_B": "other"}
+    assert os.environ.pop("TIDELINE_A") == "x=y" and os.environ["TIDELINE_B"] == "set" and environment(str(tmp_path / "none")) == {}
+
+
+def test_scratch_tables_go_when_their_scope_ends(spark):
+    from pathlib import Path
+
+    from tideline.operators.common import durable, once_per_key, scratch, work_dir
+
+    folder = Path(work_dir(spark).removeprefix("file:"))
+    before = set(folder.iterdir())
+    with scratch(spark):
+        d = durable(spark.range(5).toDF("id"), "scope")
+        assert d.count() == 5 and len(set(folder.iterdir()) - before) == 1
+    assert set(folder.iterdir()) == before
+    rows_ = [(1, "b", None), (1, "a", 2), (1, "a", None), (2, "c", 1), (None, "d", 1)]
+    d = spark.createDataFrame(rows_, "id long, x string, y long")
+    assert sorted(map(tuple, once_per_key(d, "id").collect())) == [(1, "a", None), (2, "c", 1)]
+
+
+def test_cells_of_tables(spark):
+    from tideline.operators.texts import clean_rows, numbers_near, tables
+
+    d = spark.createDataFrame([(1, "x\n| a |  | b\u200b |\n|:--|--:|---|\n| 1 | 2 |\n| lone |\ny 12 z\n| p | q |\n| r | s |")], "doc_id long, text string")
+    t = tables(d).withColumn("c", clean_rows(F.col("body"))).collect()
+    assert [(r["first"], r["last"], r["c"]) for r in t] == [(2, 5, [["a", "b"], ["1", "2"]])]
+    assert [tuple(r)[1:] for r in numbers_near(d, "Z", 0).collect()] == [(6, "y 12 z", "12")]

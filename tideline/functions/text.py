@@ -85,14 +85,27 @@ def excerpt(c: Column, phrase: str, width: int = 650) -> Column:
 
 
 def front_matter(c: Column, keys: tuple[str, ...]) -> tuple[dict[str, Column], Column]:
-    """The values of known keys of a leading block between `---` lines, quotes removed, and the text after the block."""
+    """The values of known keys of a leading block between `---` lines, decoded if they are JSON, and the text after the block."""
     block = F.nullif(F.regexp_extract(c, r"(?s)\A---\n(.*?\n)---\n", 1), F.lit(""))
     value = lambda k: F.regexp_extract(block, rf"(?m)^{k}:[ \t]*(.*?)[ \t]*$", 1)
-    plain = lambda k: F.nullif(F.nullif(F.regexp_replace(value(k), r'^"(.*)"$', "$1"), F.lit("")), F.lit("null"))
+    decoded = lambda v: F.from_json(F.concat(F.lit('{"v":'), v, F.lit("}")), "v string")["v"]
+    plain = lambda k: F.nullif(F.when(value(k) != "null", F.coalesce(decoded(value(k)), value(k))), F.lit(""))
     body = F.when(block.isNull(), c).otherwise(F.regexp_replace(c, r"(?s)\A---\n.*?\n---\n", ""))
     return {k: plain(k) for k in keys}, body
 
 
+def loose_front_matter(c: Column, keys: tuple[str, ...], head: int = 2048) -> dict[str, Column]:
+    """The values of known keys of a block that lies within the first `head` characters, outer quotes removed; empty if absent."""
+    block = F.regexp_extract(F.left(c, F.lit(head)), r"(?s)\A---\s*\n(.*?)\n---\s*\n", 1)
+    return {k: F.regexp_extract(block, rf'(?m)^{k}:[ \t]*"?(.*?)"?[ \t\r]*$', 1) for k in keys}
+
+
+def first_line(body: Column, most: int = 120) -> Column:
+    """A leading `# ` heading, or else the start of the first line; blank lines and comments before it do not count."""
+    line = F.get(F.filter(F.transform(F.split(body, "\n"), lambda x: F.btrim(x, F.lit(" \t\r"))), lambda x: (x != "") & ~x.startswith("<!--")), F.lit(0))
+    return F.coalesce(F.when(line.startswith("# "), F.trim(F.substring(line, 3, 1_000_000))).otherwise(F.left(line, F.lit(most))), F.lit(""))
+
+
 def title(body: Column, stem: Column) -> Column:
     """The first heading, else the file's stem."""
     return F.coalesce(F.nullif(F.regexp_extract(body, r"(?m)^#{1,4}[ \t]+(.*\S)[ \t]*$", 1), F.lit("")), stem)

@@ -132,6 +132,20 @@ def arithmetic_claims(df: DataFrame, column: str, tolerance: float = 0.01) -> Da
     return df.withColumn("claims", run(F.col(column)))
 
 
+def misses_value(claims: Column, value: Column, tolerance: float = 0.01) -> Column:
+    """Whether sums of the scale of a value were stated and none of them comes to it."""
+    lands = F.transform(claims, lambda c: F.when(c["ok"] & (F.abs(c["computed"] * 100 - c["stated"]) <= tolerance * F.greatest(F.abs(c["stated"]), F.lit(1e-9))), c["computed"] * 100).otherwise(c["stated"]))
+    near = F.filter(lands, lambda x: (F.abs(x) / F.abs(value)).between(0.5, 2.0))
+    return (F.abs(value) > 1e-9) & (F.size(near) > 0) & ~F.exists(near, lambda x: F.abs(x - value) / F.abs(value) <= tolerance)
+
+
+def e12_landings(spark, sf_dir):
+    """Whether made derivations come to the value that they are for."""
+    a = table(spark, sf_dir, "value_candidates").select("candidate_id", "value").distinct().where("value is not null and value > 0.01")
+    made = F.concat(F.lit("1 + 1 = 2; then "), F.format_string("%.4f", "value"), F.lit(" * 1 = "), F.format_string("%.4f", F.col("value") * F.when(F.col("candidate_id") % 3 == 0, 1.2).otherwise(1.0)))
+    return arithmetic_claims(a.withColumn("text", made), "text").select("candidate_id", misses_value(F.col("claims"), F.col("value")).alias("misses"))
+
+
 def f1_lookup(spark, sf_dir):
     """Order totals by nation through two dimension lookups."""
     o, c, n = (table(spark, sf_dir, t) for t in ("orders", "customer", "nation"))
@@ -286,6 +300,18 @@ def j4_intersect(spark, sf_dir):
     return table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("nation")).intersect(table(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("nation")))
 
 
+def k_json_replies(spark, sf_dir):
+    """Candidates written as replies, fenced, in prose and broken, read and held against a schema."""
+    from ..functions.replies import json_text, schema_problem
+
+    c = table(spark, sf_dir, "value_candidates").select("candidate_id", "value").distinct()
+    body = F.concat(F.lit('{"id": '), F.col("candidate_id"), F.when(F.col("candidate_id") % 3 == 0, F.lit("}")).otherwise(F.lit(', "unit": "m"}')))
+    made = F.when(F.col("candidate_id") % 5 == 0, "no reply").when(F.col("candidate_id") % 2 == 0, F.concat(F.lit("```json\n"), body, F.lit("\n```"))).otherwise(F.concat(F.lit("Here it is: "), body, F.lit(" as asked")))
+    t = json_text(made)
+    schema = {"type": "object", "required": ["id", "unit"], "properties": {"id": {"type": "number"}, "unit": {"type": "string"}}}
+    return c.select("candidate_id", F.get_json_object(t, "$.id").alias("id"), schema_problem(t, schema).alias("problem"))
+
+
 def k_json_props(spark, sf_dir):
     e = table(spark, sf_dir, "run_events").select("event_id", "payload").distinct()
     p = F.from_json("payload", "n int, chars int")
@@ -304,9 +330,11 @@ def k_slug(spark, sf_dir):
 
 QUERIES = {f.__name__: f for f in (
     f1_lookup, f2_semi, f3_anti, f4_pivot, f9_theta, f10_fuzzy, f14_merge, f15_coalesce, e12_arithmetic, g1_group_count, g9_cost, g12_upper_median, g20_keep_first, g21_pivot_lines,
-    g22_evidence, h1_cap, h7_islands, i2_composite_sort, i5_severity, j1_union, j2_union_first, j3_except, j4_intersect, k_json_props, k_sha_key, k_slug)}
+    g22_evidence, h1_cap, h7_islands, i2_composite_sort, i5_severity, j1_union, j2_union_first, j3_except, j4_intersect, k_json_props, k_sha_key, k_slug, e12_landings, k_json_replies)}
 _SP = "' ' || chr(9) || chr(10) || chr(13) || chr(12) || chr(11) || chr(160)"
 ORACLES = {
+    "e12_landings": "select distinct candidate_id, candidate_id % 3 = 0 and not (value between 1.0 and 4.0 and abs(2 - value) / value <= 0.01) as misses from value_candidates where value > 0.01",
+    "k_json_replies": "select distinct candidate_id, case when candidate_id % 5 <> 0 then cast(candidate_id as varchar) end as id, case when candidate_id % 5 = 0 then 'no JSON' when candidate_id % 3 = 0 then '/unit: missing' end as problem from value_candidates",
     "f1_lookup": "select n_name, count(*) as orders, sum(cast(round(o_totalprice * 100) as bigint)) / 100.0 as total from orders join customer on o_custkey = c_custkey join nation on c_nationkey = n_nationkey group by 1",
     "f2_semi": "select c_mktsegment, count(*) as customers from customer where c_custkey in (select o_custkey from orders where o_orderpriority = '1-URGENT') group by 1",
     "f3_anti": f"select distinct evidence_id from evidence where nullif(lower(trim(source, {_SP})), '') is not null and not exists (select 1 from value_candidates v where lower(trim(v.source_path, {_SP})) = lower(trim(evidence.source, {_SP})) and v.metric = evidence.metric)",

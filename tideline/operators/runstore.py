@@ -6,8 +6,9 @@ wins; an insert that must not repeat is an anti join before the append.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from .common import norm_key, table
 from .relational import first_per_key
@@ -29,6 +30,36 @@ def upsert(existing: DataFrame, incoming: DataFrame, key: list[str], stamp: str)
     return first_per_key(both, key, [F.desc(stamp), F.desc("_new")]).drop("_new")
 
 
+#: The five tables of a run store. The first column is the key; the column behind the bar, if any, partitions the files.
+TABLES = {
+    "runs": "run_id string, label string, status string, started_at timestamp, ended_at timestamp, git_commit string, config string, notes string, loaded_at timestamp",
+    "tasks": "task_id string, run_id string, parent_id string, key string, kind string, status string, started_at timestamp, ended_at timestamp, error string, input string, output string, loaded_at timestamp | run_id",
+    "events": "event_id bigint, run_id string, task_id string, ts timestamp, kind string, name string, payload string, duration_ms bigint | run_id",
+    "evidence": "evidence_id bigint, run_id string, task_id string, ticker string, metric string, claim string, value double, units string, source string, ts timestamp | run_id",
+    "profiles": "ticker string, horizon string, body string, saved_at timestamp, deleted boolean",
+}
+
+
+def create_tables(spark: SparkSession, folder: str) -> None:
+    """Empty tables of the run store where there are none yet; what stands there stays."""
+    for name, text in TABLES.items():
+        columns, _, by = (x.strip() for x in text.partition("|"))
+        spark.createDataFrame([], columns).write.mode("ignore").partitionBy(*[by] if by else []).parquet(f"{folder.rstrip('/')}/{name}")
+
+
+def migrated(rows: DataFrame, columns: str) -> DataFrame:
+    """rows with the columns they lack as nulls; further columns of theirs stay. Old and new files are read as one by this."""
+    have = {c.lower() for c in rows.columns}
+    wanted = StructType.fromDDL(columns)
+    return rows.select("*", *[F.lit(None).cast(f.dataType).alias(f.name) for f in wanted if f.name.lower() not in have])
+
+
+def delete(existing: DataFrame, keys: DataFrame, key: list[str], stamp: str, now: Column) -> DataFrame:
+    """Rows to append that withdraw the present rows of some keys: upsert() then shows them as deleted."""
+    present = first_per_key(existing, key, [F.desc(stamp)]).where("not coalesce(deleted, false)")
+    return present.join(keys.select(*key).distinct(), key, "left_semi").withColumn("deleted", F.lit(True)).withColumn(stamp, now).select(existing.columns)
+
+
 def completed(tasks: DataFrame) -> DataFrame:
     return current(tasks, ["task_id"]).where("status = 'completed'")
 

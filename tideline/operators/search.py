@@ -31,23 +31,48 @@ def query_terms(query: str) -> list[str]:
     return list(dict.fromkeys(found))
 
 
-def line_passages(documents: DataFrame) -> DataFrame:
-    """(doc_id, ordinal, text): the informative lines of each text, numbered among themselves."""
+def line_passages(documents: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, published_at, *keep, ordinal, text): the informative lines of each text, numbered among themselves."""
     lines = F.filter(F.split(T.normalise(F.col("text")), "\n"), lambda x: T.informative(x))
-    return documents.select("doc_id", "published_at", F.posexplode(lines).alias("pos", "text")).select("doc_id", "published_at", (F.col("pos") + 1).alias("ordinal"), "text")
+    return documents.select("doc_id", "published_at", *keep, F.posexplode(lines).alias("pos", "text")).select("doc_id", "published_at", *keep, (F.col("pos") + 1).alias("ordinal"), "text")
+
+
+def chunk_passages(documents: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, published_at, *keep, ordinal, heading, text, indexed): passages under their headings, which are searched, too."""
+    from .texts import chunks
+
+    c = chunks(documents.select(F.struct("doc_id", "published_at", *keep).alias("d"), "text"), "d").where(T.informative(F.col("text")))
+    return c.select("d.*", "ordinal", "heading", "text", F.concat_ws("\n", F.nullif("heading", F.lit("")), "text").alias("indexed"))
+
+
+#: Columns by which passages can be filtered.
+FILTERS = ("company_slug", "document_type", "period")
+
+
+def wanted(company: str | None = None, document_types: tuple[str, ...] = (), period_contains: str | None = None, published_after: date | None = None) -> Column:
+    """Passages of documents of a company, of some types, of periods that hold a text, and published on a day or later; case does not count."""
+    c = F.lit(True)
+    if company is not None:
+        c = c & (F.lower("company_slug") == company.lower())
+    if document_types:
+        c = c & F.upper(strip("document_type")).isin([t.upper() for t in document_types])
+    if period_contains:
+        c = c & F.contains(F.lower("period"), F.lit(period_contains.lower()))
+    return c & (F.col("published_at") >= F.lit(published_after)) if published_after else c
 
 
 def _equals(word: str):
     return lambda x: x == F.lit(word)
 
 
-def score(passages: DataFrame, terms: list[str], weights: list[float] | None = None, stop: list[str] = T.STOP_WORDS, min_length: int = 2) -> DataFrame:
-    """passages with a BM25 `score`, those without any term left out. Statistics are those of the given passages."""
-    t = passages.withColumn("_t", T.tokens(F.col("text"), stop, min_length))
+def score(passages: DataFrame, terms: list[str], weights: list[float] | None = None, stop: list[str] = T.STOP_WORDS, min_length: int = 2, where: Column | None = None) -> DataFrame:
+    """passages with a BM25 `score`, those without any term left out. Statistics are those of all given passages, also where only some are wanted."""
+    t = passages.withColumn("_t", T.tokens(F.col("indexed" if "indexed" in passages.columns else "text"), stop, min_length))
     t = t.withColumn("_len", F.size("_t")).withColumn("_tf", F.array(*[F.size(F.filter("_t", _equals(k))) for k in terms])).drop("_t")
     df = [F.count_if(F.col("_tf")[i] > 0).alias(f"_df{i}") for i in range(len(terms))]
     stats = t.agg(F.count("*").alias("_n"), F.avg("_len").alias("_avg"), *df)
-    hit = t.where(F.exists("_tf", lambda x: x > 0)).join(F.broadcast(stats))  # one row
+    hit = t.where(F.exists("_tf", lambda x: x > 0))
+    hit = (hit if where is None else hit.where(where)).join(F.broadcast(stats))  # one row
     total: Column = F.lit(0.0)
     for i in range(len(terms)):
         idf = F.log(1 + (F.col("_n") - F.col(f"_df{i}") + 0.5) / (F.col(f"_df{i}") + 0.5))
@@ -77,11 +102,12 @@ def capped(scored: DataFrame, limit: int = LIMIT, per_document: int = PER_DOCUME
     return scored.withColumn("_r", rank).where(F.col("_r") <= per_document).drop("_r").orderBy(*order).limit(limit)
 
 
-def search(passages: DataFrame, query: str, as_of: date, limit: int = LIMIT, per_document: int = PER_DOCUMENT, half_life: int = HALF_LIFE, weight: float = RECENCY_WEIGHT) -> DataFrame:
+def search(passages: DataFrame, query: str, as_of: date, limit: int = LIMIT, per_document: int = PER_DOCUMENT, half_life: int = HALF_LIFE, weight: float = RECENCY_WEIGHT, where: Column | None = None) -> DataFrame:
+    """The best passages for a query among those that are wanted()."""
     terms = query_terms(query)
     if not terms:
         return passages.withColumn("score", F.lit(0.0)).where(F.lit(False))
-    return capped(recency(phrase_boost(score(passages, terms), query), as_of, half_life, weight), limit, per_document)
+    return capped(recency(phrase_boost(score(passages, terms, where=where), query), as_of, half_life, weight), limit, per_document)
 
 
 def search_latest(passages: DataFrame, query: str, as_of: date, limit: int = 6, pool: int = LATEST_POOL, floor: float = LATEST_FLOOR) -> DataFrame:
@@ -146,6 +172,33 @@ def d4_bm25_index(spark, sf_dir):
     return capped(s).select("doc_id", "ordinal", F.round("score", 6).alias("score"))
 
 
+FILTER = {"document_types": ("filing",), "period_contains": "q", "published_after": date(2024, 1, 1)}
+
+
+def _filtered(spark, sf_dir, passages) -> DataFrame:
+    d = Corpus.load(spark, sf_dir).as_of(CUTOFF).documents().select("doc_id", "published_at", *FILTERS, "text")
+    return search(passages(spread(d), FILTERS), QUERY, CUTOFF, where=wanted(**FILTER))
+
+
+def d4_filtered(spark, sf_dir):
+    """Lines of filings of some periods and days; the statistics are those of all known lines."""
+    return _filtered(spark, sf_dir, line_passages).select("doc_id", "ordinal", F.round("score", 6).alias("score"))
+
+
+def d4_chunks(spark, sf_dir):
+    """The same over passages of several lines under their headings."""
+    return _filtered(spark, sf_dir, chunk_passages).select("doc_id", "ordinal", "heading", F.round("score", 6).alias("score"))
+
+
+def d24_types(spark, sf_dir):
+    """Documents, passages and distinct terms by document type."""
+    d = table(spark, sf_dir, "documents").select("doc_id", "published_at", F.upper(strip("document_type")).alias("document_type"), "text")
+    p = line_passages(spread(d), ("document_type",)).select("document_type", T.tokens(F.col("text")).alias("t"))
+    terms = p.select("document_type", F.explode("t").alias("term")).groupBy("document_type").agg(F.countDistinct("term").alias("terms"))
+    counts = d.groupBy("document_type").agg(F.count("*").alias("documents"))
+    return counts.join(p.groupBy("document_type").agg(F.count("*").alias("passages")), "document_type", "left").join(terms, "document_type", "left")
+
+
 def d5_phrase(spark, sf_dir):
     hits = capped(phrase_boost(score(_passages(spark, sf_dir), query_terms(PHRASE)), PHRASE))
     return hits.select("doc_id", "ordinal", F.round("score", 6).alias("score"))
@@ -187,7 +240,7 @@ def d24_corpus_stats(spark, sf_dir):
     return d.groupBy("company_slug").agg(F.count("*").alias("documents"), F.sum("passages").alias("passages"), F.sum("tokens").alias("tokens"), F.round(F.sum("tokens") / F.sum("passages"), 1).alias("avg_tokens"))
 
 
-QUERIES = {f.__name__: f for f in (d3_postings, d4_bm25_topk, d4_bm25_index, d5_phrase, d6_recency, d7_search, d8_latest, d9_bm25_documents, d11_paragraphs, d24_corpus_stats)}
+QUERIES = {f.__name__: f for f in (d3_postings, d4_bm25_topk, d4_bm25_index, d4_filtered, d4_chunks, d24_types, d5_phrase, d6_recency, d7_search, d8_latest, d9_bm25_documents, d11_paragraphs, d24_corpus_stats)}
 
 _NORM = "translate(text, chr(160) || chr(8203) || chr(65279), ' ')"
 _TOK = "list_filter(regexp_extract_all(lower({c}), '[a-z0-9][a-z0-9.''\\-]*'), lambda t: len(t) > 1 and not list_contains([" + ", ".join(f"'{w}'" for w in T.STOP_WORDS) + "], t))"
@@ -223,6 +276,8 @@ ORACLES = {
     "d3_postings": f"with {_passages_sql()}, x as (select doc_id, ordinal, unnest(t) as term from p), y as (select term, doc_id, ordinal, count(*) as tf from x group by all) select term, count(*) as df, cast(sum(tf) as bigint) as cf from y group by 1",
     "d4_bm25_topk": _bm25_sql(query_terms(QUERY)) + _cap_sql("score"),
     "d4_bm25_index": _bm25_sql(query_terms(QUERY)) + _cap_sql("score"),
+    "d4_filtered": _bm25_sql(query_terms(QUERY)) + ", z as (select s.* from s join documents using (doc_id) where upper(trim(document_type, ' ' || chr(9) || chr(10) || chr(13) || chr(160))) = 'FILING' and contains(lower(period), 'q') and documents.published_at >= date '2024-01-01')" + _cap_sql(f"score * {_REC}").replace("from s)", "from z)"),
+    "d24_types": f"with k as (select doc_id, upper(trim(document_type, ' ' || chr(9) || chr(10) || chr(13) || chr(160))) as document_type from documents), {_passages_sql('true')}, c as (select document_type, count(*) as documents from k group by 1), x as (select document_type, t from p join k using (doc_id)), y as (select document_type, count(*) as passages from x group by 1), u as (select document_type, unnest(t) as term from x), v as (select document_type, count(distinct term) as terms from u group by 1) select c.document_type, documents, passages, terms from c left join y using (document_type) left join v using (document_type)",
     "d5_phrase": _bm25_sql(query_terms(PHRASE)) + _cap_sql(f"score * {_BOOST}"),
     "d6_recency": _bm25_sql(query_terms(QUERY)) + _cap_sql(f"score * {_REC}"),
     "d7_search": _bm25_sql(query_terms(PHRASE)) + _cap_sql(f"score * {_BOOST} * {_REC}", 8, 2),

@@ -8,7 +8,7 @@ from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import numbers as N
@@ -24,6 +24,31 @@ def lines(documents: DataFrame) -> DataFrame:
     return documents.select("doc_id", F.posexplode(F.split("text", "\n")).alias("p", "text")).select("doc_id", (F.col("p") + 1).alias("line"), "text")
 
 
+_HEADING = re.compile(r"(#{1,4})\s+(.*\S)\s*")
+
+
+def passages(text: str, target: int = CHUNK_TARGET, most: int = CHUNK_MAX) -> list[tuple[str, str]]:
+    """(heading, text) of each passage of a text; see chunks()."""
+    raw = text.splitlines()
+    heads = [(i, m[2]) for i, x in enumerate(raw) if x.startswith("#") and (m := _HEADING.fullmatch(x))]
+    bare = [x.rstrip() for x in raw]
+    size = np.concatenate([[0], np.cumsum([len(x) + 1 for x in bare], dtype=np.int64)])
+    blank = np.array([i for i, x in enumerate(bare) if not x], np.int64)
+    size_at_blank = size[blank]
+    out = []
+    for (before, head), (end, _) in pairwise([(-1, ""), *heads, (len(raw), "")]):
+        at = before + 1
+        while at < end:
+            past_target = int(np.searchsorted(size_at_blank, size[at] + target))
+            gap = int(blank[past_target]) if past_target < len(blank) else end
+            full = int(np.searchsorted(size, size[at] + most))
+            stop, following = (gap, gap + 1) if gap < full else (full, full)
+            if body := "\n".join(bare[at : min(stop, end)]).strip():
+                out.append((head, body))
+            at = following
+    return out
+
+
 def chunks(documents: DataFrame, key: str = "doc_id", target: int = CHUNK_TARGET, most: int = CHUNK_MAX) -> DataFrame:
     """(key, ordinal, heading, text): passages under the heading in force, cut at a blank line past target or anywhere past most.
 
@@ -31,31 +56,9 @@ def chunks(documents: DataFrame, key: str = "doc_id", target: int = CHUNK_TARGET
     past target and the first line past most, are found by binary search in the running sizes of the lines, so a text
     takes as many steps as it has passages. Texts are independent and stay where they are.
     """
-    heading = re.compile(r"(#{1,4})\s+(.*\S)\s*")
-
-    def passages(text: str) -> list[tuple[str, str]]:
-        raw = text.splitlines()
-        heads = [(i, m[2]) for i, x in enumerate(raw) if x.startswith("#") and (m := heading.fullmatch(x))]
-        bare = [x.rstrip() for x in raw]
-        size = np.concatenate([[0], np.cumsum([len(x) + 1 for x in bare], dtype=np.int64)])
-        blank = np.array([i for i, x in enumerate(bare) if not x], np.int64)
-        size_at_blank = size[blank]
-        out = []
-        for (before, head), (end, _) in pairwise([(-1, ""), *heads, (len(raw), "")]):
-            at = before + 1
-            while at < end:
-                past_target = int(np.searchsorted(size_at_blank, size[at] + target))
-                gap = int(blank[past_target]) if past_target < len(blank) else end
-                full = int(np.searchsorted(size, size[at] + most))
-                stop, following = (gap, gap + 1) if gap < full else (full, full)
-                if body := "\n".join(bare[at : min(stop, end)]).strip():
-                    out.append((head, body))
-                at = following
-        return out
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = [(k, i + 1, h, t) for k, text in zip(b.column("k").to_pylist(), b.column("text").to_pylist(), strict=True) for i, (h, t) in enumerate(passages(text or ""))]
+            rows = [(k, i + 1, h, t) for k, text in zip(b.column("k").to_pylist(), b.column("text").to_pylist(), strict=True) for i, (h, t) in enumerate(passages(text or "", target, most))]
             cols = list(zip(*rows, strict=True)) or [()] * 4
             yield pa.RecordBatch.from_arrays([pa.array(cols[0], b.column("k").type), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.string()), pa.array(cols[3], pa.string())], names=["k", "ordinal", "heading", "text"])
 
@@ -157,6 +160,31 @@ def windows_around(c: Column, phrase: str | Column, before: int = 40, after: int
     return F.transform(at, lambda q: F.substring(c, F.greatest(q - before, F.lit(0)) + 1, (q + n + after - F.greatest(q - before, F.lit(0))).cast("int")))
 
 
+def register_table_functions(spark: SparkSession) -> None:
+    """chunk_document(text) and anchor_windows(text, anchor) as table functions of SQL."""
+
+    @F.udtf(returnType="ordinal int, heading string, text string")
+    class ChunkDocument:
+        def eval(self, text: str):
+            yield from ((i + 1, h, t) for i, (h, t) in enumerate(passages(text or "")))
+
+    @F.udtf(returnType="n int, excerpt string")
+    class AnchorWindows:
+        def eval(self, text: str, anchor: str):
+            found = re.finditer(re.escape(anchor.lower()), (text or "").lower()) if anchor else ()
+            yield from ((i, text[max(0, m.start() - 40) : m.end() + 220]) for i, m in enumerate(found))
+
+    spark.udtf.register("chunk_document", ChunkDocument)
+    spark.udtf.register("anchor_windows", AnchorWindows)
+
+
+def o5_table_functions(spark, sf_dir):
+    """Both table functions over every text, called from SQL."""
+    register_table_functions(spark)
+    _docs(spark, sf_dir).select("doc_id", "text").createOrReplaceTempView("tideline_texts")
+    return spark.sql("select t.doc_id, w.n, w.excerpt as window from tideline_texts t, lateral anchor_windows(t.text, 'margin') w")
+
+
 def _docs(spark, sf_dir):
     return table(spark, sf_dir, "documents").where("text is not null")
 
@@ -174,6 +202,18 @@ def a3_title(spark, sf_dir):
     return _docs(spark, sf_dir).select("doc_id", T.title(F.col("text"), stem).alias("title"))
 
 
+def a2b_front_matter(spark, sf_dir):
+    """A block with quoted and bare values, read from the head of each text."""
+    d = _docs(spark, sf_dir)
+    made = F.concat(F.lit('---\r\ncompany: "'), F.coalesce("company_slug", F.lit("")), F.lit('"\nperiod: '), F.coalesce("period", F.lit("")), F.lit("\n--- \n"), F.col("text"))
+    return d.select("doc_id", *[v.alias(k) for k, v in T.loose_front_matter(made, ("company", "period", "absent")).items()])
+
+
+def a3_first_line(spark, sf_dir):
+    made = F.concat(F.lit("\n<!-- PAGE 1 -->\n"), F.when(F.col("doc_id") % 2 == 0, F.lit("#  A heading \n")).otherwise(F.lit("")), F.col("text"))
+    return _docs(spark, sf_dir).select("doc_id", T.first_line(made).alias("title"))
+
+
 def a4_dates(spark, sf_dir):
     from ..functions.dates import parse_date
 
@@ -318,9 +358,9 @@ def e6_windows(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (
-    a2_front_matter, a3_title, a4_dates, a5_noise, c10_informative, c14_period_fit, c15_plausible, c16_guidance_marker, c17_guidance_sentences, d1_chunks, d2_tokens,
+    a2_front_matter, a2b_front_matter, a3_title, a3_first_line, a4_dates, a5_noise, c10_informative, c14_period_fit, c15_plausible, c16_guidance_marker, c17_guidance_sentences, d1_chunks, d2_tokens,
     d12_excerpt, d13_numbers, d14_in_document, d15_first_hit, d16_outline, d17_tables, d17_markdown_tables, d18_ranked_tables, d19_numbers_near, d20_focused_read, d21_truncate, d22_repair, d23_industry, d25_redact,
-    e1_parse_numbers, e2_millions, e3_points, e6_windows)}
+    e1_parse_numbers, e2_millions, e3_points, e6_windows, o5_table_functions)}
 
 _T = "text is not null"
 _LN = f"l as (select doc_id, unnest(string_split(text, chr(10))) as text, cast(generate_subscripts(string_split(text, chr(10)), 1) as integer) as line from documents where {_T})"
@@ -352,7 +392,16 @@ _TOKS = "list_filter(regexp_extract_all(lower(text), '[a-z0-9][a-z0-9.''\\-]*'),
 #: other letters are replaced by one.
 _FIG = "list_filter(list_transform(regexp_extract_all(regexp_replace(text, '[^\\x00-\\x7F\\P{L}]', 'z', 'g'), '(?i)(?:^|[^\\p{L}\\p{N}_])((?:[$£€]\\s*)?\\(?-?[0-9](?:[0-9,]*[0-9])?(?:\\.[0-9]+)?\\)?(?:\\s*(?:%|percent|million|billion|bn|m\\b|pence|p\\b|per\\s+share))?)', 1), lambda x: trim(x, ' ' || chr(9) || chr(10) || chr(13))), lambda x: length(x) >= 2)"
 _ISL = _LN + ", r as (select doc_id, line, text, line - row_number() over (partition by doc_id order by line) as i from l where regexp_matches(text, '^[ \\t]*[-|]')), t as (select doc_id, min(line) as first, max(line) as last, string_agg(text, chr(10) order by line) as body from r group by doc_id, i having count(*) >= 2)"
+_SEC = (
+    f"s0 as (select doc_id, line, coalesce(nullif(regexp_extract(text, '^<!-- PAGE ([0-9]+) -->', 1), ''), '') as page, length(regexp_extract(text, '^(#{{1,6}})[ \\t]+[^ \\t]', 1)) as hashes, text from l), "
+    "s1 as (select doc_id, line, case when page <> '' then 1 else hashes end as level, case when page <> '' then 'Page ' || page else trim(regexp_replace(text, '^#+', '')) end as title from s0), "
+    "s2 as (select doc_id, line as first, level, title from s1 where level between 1 and 3), s3 as (select * from s2 union all select distinct doc_id, 1, 0, '' from l where doc_id not in (select doc_id from s2 where first = 1)), n as (select doc_id, max(line) as n from l group by 1)"
+)
 ORACLES = {
+    "a2b_front_matter": f"select doc_id, coalesce(company_slug, '') as company, coalesce(period, '') as period, '' as absent from documents where {_T}",
+    "a3_first_line": f"with m as (select doc_id, list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x, ' ' || chr(9) || chr(13))), lambda x: x <> '' and not starts_with(x, '<!--'))[1] as one from documents where {_T}) select doc_id, case when doc_id % 2 = 0 then 'A heading' when one is null then '' when starts_with(one, '# ') then trim(substring(one, 3)) else left(one, 120) end as title from m",
+    "d16_outline": f"with {_LN.replace(_T, _T + " and text <> ''")}, {_SEC} select doc_id, cast(row_number() over (partition by doc_id order by first) as integer) as index, cast(level as integer) as level, title, first, cast(coalesce(lead(first) over (partition by doc_id order by first) - 1, n) as integer) as last from s3 join n using (doc_id)",
+    "e6_windows": f"with p as (select doc_id, text, string_split(lower(text), 'margin') as ps from documents where {_T}), q as (select doc_id, text, unnest(range(1, len(ps))) as i, ps from p), w as (select doc_id, i - 1 as n, text, cast(list_sum(list_transform(ps[1:i], lambda x: length(x))) as bigint) + (i - 1) * 6 as place from q) select doc_id, cast(n as integer) as n, substring(text, greatest(place - 40, 0) + 1, place + 226 - greatest(place - 40, 0)) as \"window\" from w",
     "a2_front_matter": f"select doc_id, nullif(coalesce(company_slug, ''), '') as company, nullif(coalesce(ticker, ''), '') as ticker, null::varchar as source_url, null::varchar as absent, cast(length(text) as integer) as body_chars from documents where {_T}",
     "a3_title": f"select doc_id, coalesce(nullif(regexp_extract(text, '(?m)^#{{1,4}}[ \\t]+(.*[^\\s])[ \\t\\r]*$', 1), ''), regexp_extract(rel_path, '([^/]+)\\.md$', 1)) as title from documents where {_T}",
     "a4_dates": "select distinct published_at as raw, cast(coalesce(try_strptime(split_part(trim(published_at), 'T', 1), '%Y-%m-%d'), try_strptime(trim(published_at), '%Y%m%d'), try_strptime(trim(published_at), '%d %B %Y'), try_strptime(trim(published_at), '%d %b %Y')) as date) as day from guidance_anchors",
@@ -382,3 +431,4 @@ ORACLES = {
     "e2_millions": _parsed_sql("round(case when not is_percent then value * case scale when 'billion' then 1000.0 when 'bn' then 1000.0 when 'thousand' then 0.001 when 'k' then 0.001 else 1.0 end end, 6) as millions"),
     "e3_points": _parsed_sql("round(case when is_percent then case when scale = 'bps' then value / 100 else value end end, 6) as points"),
 }
+ORACLES["o5_table_functions"] = ORACLES["e6_windows"]

@@ -17,6 +17,20 @@ CATALOG_ROW = r"(?m)^\|\s*([0-9]{4}-[0-9]{2}-[0-9]{2})\s*\|\s*([^|\n]+?)\s*\|\s*
 REPORT_ROW = r'<tr><td><strong>([A-Z:]+)</strong></td>\s*<td>([^<]+)</td>\s*<td class="num"><strong>([-0-9,.]+)</strong></td>\s*<td class="num">([-0-9,.]+)</td>\s*<td class="num">([-0-9,.]+)</td>\s*<td>([^<]*)</td>\s*<td><code>([^<]*)</code></td>'
 
 
+def environment(path: str, override: bool = False) -> dict[str, str]:
+    """KEY=VALUE lines of a file on the driver, put into the environment; what is set there already wins unless override."""
+    import os
+
+    try:
+        with open(path, encoding="utf-8") as f:
+            pairs = [x.split("=", 1) for x in map(str.strip, f) if "=" in x and not x.startswith(("#", "="))]
+    except FileNotFoundError:
+        return {}
+    found = {k.strip(): v.strip().strip("\"'") for k, v in pairs}
+    os.environ.update({k: v for k, v in found.items() if override or k not in os.environ})
+    return found
+
+
 def markdown_files(spark: SparkSession, root: str) -> DataFrame:
     """(path, name, text) of every Markdown file below root but the catalogs, in whatever encoding errors they have."""
     raw = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.md").text(root, wholetext=True)

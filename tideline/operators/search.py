@@ -1,19 +1,20 @@
 """Ranked search: BM25 over passages or documents, phrase boost, recency decay, caps, and the paragraph scorer.
 
-A query has few terms, so one pass computes each passage's length and its count of each query term, a one-row
-aggregate gives the corpus statistics, and the scores follow without an index. For many queries over one corpus,
+A query has few terms, so one pass computes each passage's length and its count of each query term, observes the corpus
+statistics on the way and keeps the passages with a term; the scores follow without an index. For many queries over one corpus,
 postings() writes the index and search_postings() reads only the terms asked for.
 """
 
 from __future__ import annotations
 
+import math
 from datetime import date
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from .common import spread, strip, table
+from .common import durable, spread, strip, table
 from .pit import CUTOFF, Corpus
 
 K1, B = 1.5, 0.75
@@ -66,20 +67,26 @@ def _equals(word: str):
 
 
 def score(passages: DataFrame, terms: list[str], weights: list[float] | None = None, stop: list[str] = T.STOP_WORDS, min_length: int = 2, where: Column | None = None) -> DataFrame:
-    """passages with a BM25 `score`, those without any term left out. Statistics are those of all given passages, also where only some are wanted."""
+    """passages with a BM25 `score`, those without any term left out. Statistics are those of all given passages, also where only some are wanted.
+
+    Texts are read and cut into tokens once: while the passages that hold a term are written, the statistics are
+    observed on the same rows.
+    """
     t = passages.withColumn("_t", T.tokens(F.col("indexed" if "indexed" in passages.columns else "text"), stop, min_length))
     t = t.withColumn("_len", F.size("_t")).withColumn("_tf", F.array(*[F.size(F.filter("_t", _equals(k))) for k in terms])).drop("_t")
     df = [F.count_if(F.col("_tf")[i] > 0).alias(f"_df{i}") for i in range(len(terms))]
-    stats = t.agg(F.count("*").alias("_n"), F.avg("_len").alias("_avg"), *df)
-    hit = t.where(F.exists("_tf", lambda x: x > 0))
-    hit = (hit if where is None else hit.where(where)).join(F.broadcast(stats))  # one row
+    seen = Observation()
+    hit = t.observe(seen, F.count(F.lit(1)).alias("_n"), F.sum("_len").alias("_sum"), *df).where(F.exists("_tf", lambda x: x > 0))
+    hit = durable(hit if where is None else hit.where(where), "hits")
+    stats = seen.get
+    n, mean = stats["_n"], (stats["_sum"] or 0) / max(1, stats["_n"])
     total: Column = F.lit(0.0)
     for i in range(len(terms)):
-        idf = F.log(1 + (F.col("_n") - F.col(f"_df{i}") + 0.5) / (F.col(f"_df{i}") + 0.5))
+        idf = math.log(1 + (n - stats[f"_df{i}"] + 0.5) / (stats[f"_df{i}"] + 0.5))
         tf = F.col("_tf")[i]
-        part = idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("_len") / F.col("_avg")))
+        part = F.lit(idf) * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("_len") / F.lit(mean or 1.0)))
         total = total + F.lit((weights or [1.0] * len(terms))[i]) * F.when(tf > 0, part).otherwise(0.0)
-    return hit.withColumn("score", total).drop("_len", "_tf", "_n", "_avg", *[f"_df{i}" for i in range(len(terms))])
+    return hit.withColumn("score", total).drop("_len", "_tf")
 
 
 def phrase_boost(scored: DataFrame, query: str) -> DataFrame:

@@ -444,4 +444,18 @@ def p7_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"p7_found": p7_found, "p7_classes": p7_classes}
-ORACLES: dict[str, str] = {}
+_SIMILAR = """t as (
+  select 'documents' as table_name, doc_id as id, min(text) as text from documents where text is not null and doc_id is not null group by doc_id
+  union all select 'guidance_anchors', anchor_id, min(context) from guidance_anchors where context is not null and anchor_id is not null group by anchor_id),
+w as (select table_name, id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') as w from t),
+g as (select distinct table_name, id, unnest(list_transform(range(1, len(w) - 1), lambda i: hash(w[i], w[i + 1], w[i + 2]))) as g from w where len(w) >= 3),
+n as (select table_name, id, count(*) as n from g group by all),
+c as (select a.table_name, a.id as id_a, b.id as id_b, count(*) as c from g a join g b on a.table_name = b.table_name and a.g = b.g and a.id < b.id group by all),
+p as (select c.table_name, id_a, id_b from c join n x on x.table_name = c.table_name and x.id = id_a join n y on y.table_name = c.table_name and y.id = id_b where c.c * 5 >= (x.n + y.n - c.c) * 3)"""
+ORACLES = {
+    "p7_found": f"with {_SIMILAR} select * from p",
+    "p7_classes": f"with recursive {_SIMILAR}, e as (select table_name, id_a as v, id_b as o from p union all select table_name, id_b, id_a from p), "
+    "r(table_name, v, o) as (select table_name, id, id from n union select r.table_name, r.v, e.o from r join e on e.table_name = r.table_name and e.v = r.o), "
+    "k as (select table_name, v, min(o) as class_id from r group by 1, 2), l as (select table_name, v, count(*) as links from e group by 1, 2) "
+    "select n.table_name, n.id, class_id, coalesce(links, 0) as links from n join k on k.table_name = n.table_name and k.v = n.id left join l on l.table_name = n.table_name and l.v = n.id",
+}

@@ -155,3 +155,40 @@ def test_cells_of_tables(spark):
     t = tables(d).withColumn("c", clean_rows(F.col("body"))).collect()
     assert [(r["first"], r["last"], r["c"]) for r in t] == [(2, 5, [["a", "b"], ["1", "2"]])]
     assert [tuple(r)[1:] for r in numbers_near(d, "Z", 0).collect()] == [(6, "y 12 z", "12")]
+
+
+# tools and the growing index
+
+
+def test_tools_answer_and_never_raise(spark, planted):
+    from tideline.operators.pit import Corpus
+    from tideline.plans.tools import TOOLS, dispatch, isolated
+
+    text = "# Report\nThe gross margin of the quarter was 41.5% of all that was sold by the company.\n## Table\n| a | 1 |\n|---|---|\n| b | 2 |"
+    d = planted(documents=[doc(1, D(2025, 5, 1), text), doc(2, D(2025, 7, 1), text)])
+    known = Corpus.load(spark, d).as_of(D(2025, 6, 30))
+    ask = lambda name, **a: dispatch(known, name, a)
+    assert [r["doc_id"] for r in ask("list_documents", company="ACME")[0]] == [1]
+    assert [r["title"] for r in ask("outline", doc_id=1)[0]] == ["Report", "Table"] and ask("outline", doc_id=2) == ([], None)
+    assert ask("section", doc_id=1, index=1)[0][0]["text"].startswith("# Report\nThe gross")
+    assert [r["line"] for r in ask("lines", doc_id=1, first=2, last=3)[0]] == [2, 3]
+    assert ask("search_document", doc_id=1, pattern="margin")[0][0]["line"] == 2
+    assert [r["doc_id"] for r in ask("search_corpus", query="gross margin", company="acme")[0]] == [1] and ask("search_corpus", query="gross margin", company="other") == ([], None)
+    assert len(ask("tables", doc_id=1, contains="B")[0]) == 1 and ask("numbers", doc_id=1, pattern="margin")[0][0]["figures"] == "41.5%"
+    assert ask("nothing")[1] == "no tool nothing" and ask("outline")[1] == "/doc_id: missing" and ask("lines", doc_id=1, first="x")[1] == "/first: not of type number" and ask("outline", doc_id=1, x=1)[1] == "/x: unknown"
+    rows_, why = ask("search_document", doc_id=1, pattern="(?P<n>a)")  # known to the driver, not to the workers
+    assert rows_ == [] and why
+    assert len(TOOLS) == 8 and isolated(["a", "b"], lambda n: 1 / (n == "b")) == ({"b": 1.0}, {"a": "ZeroDivisionError: division by zero"})
+
+
+def test_postings_of_new_files_join_the_index(spark, tmp_path):
+    from tideline.operators.search import search_postings
+    from tideline.streaming.log import ingest_postings
+
+    (tmp_path / "in").mkdir()
+    index = str(tmp_path / "index")
+    for i, words in enumerate(("gross margin rose in the quarter to more than the year before it", "operating margin fell in the quarter to less than the year before")):
+        (tmp_path / "in" / f"{i}.md").write_text(f"---\npublished_at: 2025-05-0{i + 1}\n---\n{words} and a line must be long enough")
+        ingest_postings(spark, str(tmp_path / "in"), index, str(tmp_path / "check")).awaitTermination()
+        found = search_postings(spark.read.parquet(f"{index}/postings"), spark.read.parquet(f"{index}/lengths"), "margin").collect()
+        assert len({r["doc_id"] for r in found}) == i + 1 == len(found)

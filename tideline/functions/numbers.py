@@ -63,7 +63,7 @@ def how_many_of(c: Column, phrases: tuple[str, ...]) -> Column:
 
 
 def wants_annual(period: Column) -> Column:
-    return ~F.contains(F.regexp_replace(F.lower(period), "^([^f]*)fy", "$1"), F.lit("q"))
+    return ~F.contains(F.regexp_replace(F.lower(period), "(?s)^(.*?)fy", "$1"), F.lit("q"))
 
 
 def period_fit(context: Column, annual: Column) -> Column:

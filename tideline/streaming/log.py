@@ -79,6 +79,26 @@ def ingest_documents(spark: SparkSession, folder: str, out: str, checkpoint: str
     return rows.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def ingest_postings(spark: SparkSession, folder: str, index: str, checkpoint: str):
+    """Postings and lengths of new Markdown files, added to an index as the files arrive; stops when all present ones are in.
+
+    A batch is a sub-folder of its own, so one that is tried again replaces itself. Read <index>/postings and
+    <index>/lengths as tables with search_postings().
+    """
+    from ..functions import text as T
+    from ..operators.search import line_passages, postings
+
+    stream = spark.readStream.format("text").schema("value string").option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.md").load(folder)
+    keys, body = T.front_matter(F.col("value"), ("published_at",))
+    docs = stream.select(F.col("_metadata.file_path").alias("doc_id"), keys["published_at"].try_cast("date").alias("published_at"), body.alias("text"))
+
+    def add(batch: DataFrame, batch_id: int) -> None:
+        for name, part in zip(("postings", "lengths"), postings(line_passages(batch)), strict=True):
+            part.write.mode("overwrite").parquet(f"{index.rstrip('/')}/{name}/batch={batch_id}")
+
+    return docs.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
 def _records(spark, sf_dir) -> DataFrame:
     return table(spark, sf_dir, "events").select("event_id", F.col("user_id").alias("run_id"), F.col("event_type").alias("kind"), "ts")
 
